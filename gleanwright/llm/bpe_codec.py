@@ -52,17 +52,18 @@ def added(df: DataFrame, names: list[str], types: list[T.DataType]) -> T.StructT
     return T.StructType([*df.schema.fields, *(T.StructField(n, t, True) for n, t in zip(names, types, strict=True))])
 
 
-def encode(docs: DataFrame, ranks_path: str, column: str = "text", ids: str = "ids", offsets: str | None = None) -> DataFrame:
-    """docs with packed ids of `column`; offsets, if named: for each id the code point where its first byte lies."""
+def encode(docs: DataFrame, ranks_path: str, column: str = "text", ids: str = "ids", offsets: str | None = None, keep: bool = True) -> DataFrame:
+    """docs with packed ids of `column`; offsets, if named: for each id the code point where its first byte lies. keep=False leaves `column` out."""
     ready(docs.sparkSession)
     names = [fresh(ids, docs.columns)] + ([fresh(offsets, docs.columns)] if offsets else [])
+    stay = [c for c in docs.columns if keep or c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bytebpe.ranks_encoder(ranks_path)
         for b in texts(batches, column):
             col = b.column(column)
             flat, off = coder.ids(col)
-            out = [*b.columns, packed(flat, off)]
+            out = [*map(b.column, stay), packed(flat, off)]
             if offsets:
                 raw, text_off = bytebpe.column_bytes(col)
                 lead = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
@@ -71,9 +72,9 @@ def encode(docs: DataFrame, ranks_path: str, column: str = "text", ids: str = "i
                 before = np.concatenate([[0], lead])[text_off[:-1]]
                 at = lead[start] - 1 - np.repeat(before, np.diff(off)) if len(flat) else np.zeros(0, np.int64)
                 out.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(at, pa.int32())))
-            yield pa.RecordBatch.from_arrays(out, names=[*b.schema.names, *names])
+            yield pa.RecordBatch.from_arrays(out, names=[*stay, *names])
 
-    return docs.mapInArrow(run, added(docs, names, [T.BinaryType(), T.ArrayType(T.IntegerType())][: len(names)]))
+    return docs.mapInArrow(run, added(docs.select(*stay), names, [T.BinaryType(), T.ArrayType(T.IntegerType())][: len(names)]))
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded", text: bool = False) -> DataFrame:

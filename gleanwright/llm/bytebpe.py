@@ -125,13 +125,13 @@ class Cache:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.keys, self.at = np.zeros(0, U64), np.zeros(0, np.int32)  # hashes in order, and their entries
         self.slot_hash = np.zeros(1 << SLOT_BITS, U64)
         self.slot_entry = np.zeros(1 << SLOT_BITS, np.int32)
         self.flat, self.used = np.zeros(1 << 20, np.int32), 0
         self.off, self.size, self.n = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32), 0
 
-    def _add(self, hashes: list[int], words: list[bytes]) -> None:
+    def _add(self, words: list[bytes]) -> np.ndarray:
         flat, sizes = map(np.array, self.encode(words))
         more, k = len(flat), len(sizes)
         while self.used + more > len(self.flat):
@@ -142,8 +142,8 @@ class Cache:
             self.flat[self.used : self.used + more] = flat
         self.off[self.n : self.n + k] = self.used + np.cumsum(sizes) - sizes
         self.size[self.n : self.n + k] = sizes
-        self.index.update(zip(hashes, range(self.n, self.n + k), strict=True))
         self.used, self.n = self.used + more, self.n + k
+        return np.arange(self.n - k, self.n, dtype=np.int32)
 
     def entries(self, raw: bytes, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The entry of each piece."""
@@ -154,15 +154,15 @@ class Cache:
         entry = self.slot_entry[slot]
         if len(miss := np.flatnonzero((self.slot_hash[slot] != h) | (h == 0))):
             uniq, at, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            keys = uniq.tolist()
-            have = self.index.get
-            found = [have(k, -1) for k in keys]
-            if new := [i for i, f in enumerate(found) if f < 0]:
+            where = np.searchsorted(self.keys, uniq)
+            known = np.full(len(uniq), -1, np.int32)
+            if len(self.keys):
+                near = np.minimum(where, len(self.keys) - 1)
+                known = np.where(self.keys[near] == uniq, self.at[near], known)
+            if len(new := np.flatnonzero(known < 0)):
                 p = miss[at[new]]
-                self._add([keys[i] for i in new], [raw[s:e] for s, e in zip(start[p].tolist(), end[p].tolist(), strict=True)])
-                for i in new:
-                    found[i] = self.index[keys[i]]
-            known = np.array(found, np.int32)
+                known[new] = self._add([raw[s:e] for s, e in zip(start[p].tolist(), end[p].tolist(), strict=True)])
+                self.keys, self.at = np.insert(self.keys, where[new], uniq[new]), np.insert(self.at, where[new], known[new])
             entry[miss] = known[back]
             where = (uniq >> U64(64 - SLOT_BITS)).astype(np.int64)
             self.slot_hash[where], self.slot_entry[where] = uniq, known

@@ -8,7 +8,7 @@ import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, licenses, secret_scan, token_counts
+from . import bpe_codec, licenses, minhash, secret_scan, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,15 +38,20 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = P.path("byte_bpe_50k.tiktoken")
-    ids = bpe_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks).drop("text")
+    ids = bpe_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, keep=False)
     out = bpe_codec.decode(ids, ranks)
     return out.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_secret_scan": op2_secret_scan,
     "op6_token_counts": op6_token_counts,
     "op7_bpe_codec": op7_bpe_codec,
+    "op8_minhash_dedup": op8_minhash_dedup,
 }
 ORACLES: dict[str, str] = {}
