@@ -8,7 +8,7 @@ import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, licenses, minhash, secret_scan, token_counts
+from . import bpe_codec, embed_dedup, licenses, minhash, secret_scan, token_counts, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,11 +47,22 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), bound=0.98)
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors.filter("vec_id % 50 = 0"), vectors, k=5)
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_secret_scan": op2_secret_scan,
     "op6_token_counts": op6_token_counts,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_minhash_dedup": op8_minhash_dedup,
+    "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_exact_topk": op10_exact_topk,
 }
 ORACLES: dict[str, str] = {}
