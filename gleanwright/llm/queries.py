@@ -8,7 +8,7 @@ import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, embed_dedup, licenses, line_dedup, minhash, quality, secret_scan, token_counts, topk
+from . import bpe_codec, embed_dedup, licenses, line_dedup, minhash, packing, quality, secret_scan, token_counts, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lang", "n_symbols", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "kept")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), window=1024, end_id=0)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("n_removed").cast("long").alias("n_removed"), "text")
@@ -71,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_secret_scan": op2_secret_scan,
     "op3_quality": op3_quality,
+    "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_bpe_codec": op7_bpe_codec,
