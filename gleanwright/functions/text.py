@@ -61,7 +61,7 @@ def clean(c: Column | str) -> Column:
 
 def structures(c: Column | str) -> Column:
     """Paragraphs, cut again before each list line; lines stripped, blank ones dropped."""
-    marker = r"(?:[-*•]|[0-9]+[.)]|[A-Za-z][.)])\s+"
+    marker = r"(?:[-*•]|[0-9]+[.)]|[A-Za-z][.)])[^\S\n]+"
     tidy = lambda p: F.array_join(F.filter(F.transform(F.split(p, "\n"), strip), lambda x: x != ""), "\n")
     blocks = F.filter(F.transform(F.split(strip(c), r"\n\s*\n+"), tidy), lambda x: x != "")
     return F.filter(F.flatten(F.transform(blocks, lambda p: F.split(p, rf"\n(?={marker})"))), lambda x: x != "")
