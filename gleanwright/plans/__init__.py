@@ -1,4 +1,4 @@
 """Queries over the driver tables, each with its SQL oracle."""
 
-from . import evaluate, knowledge, retrieval  # noqa: F401
+from . import curate, evaluate, knowledge, retrieval  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
