@@ -24,7 +24,9 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
-FINAL = f"CASE WHEN regexp_matches(resp, '(?is)^.*(?:</think>|</thinking>|final answer:)(.*)$') THEN {STRIP.format(chr(39).join(['regexp_extract(resp, ', '(?is)^.*(?:</think>|</thinking>|final answer:)(.*)$', ', 1)']))} ELSE resp END"
+AFTER = "regexp_extract(resp, '(?is)^.*(?:</think>|</thinking>|final answer:)(.*)$', 1)"
+SAID = r"regexp_extract_all(low, 'confidence(?:\s+level)?\s*:\s*([^\n\r]+)', 1)[-1]"
+FINAL = f"CASE WHEN regexp_matches(resp, '(?is)^.*(?:</think>|</thinking>|final answer:)(.*)$') THEN {STRIP.format(AFTER)} ELSE resp END"
 PLAIN = r"regexp_replace(translate(lower(" + STRIP + r"), '_-', '  '), '\s+', ' ', 'g')"
 
 
@@ -60,7 +62,7 @@ def label_in_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "extract_confidence",
-    f"WITH {RESPONSES}, l AS (SELECT conv_id, turn, lower(response) AS low FROM responses) SELECT conv_id, turn, coalesce(substr(trim({STRIP.format(chr(39).join(['regexp_extract_all(low, ', 'confidence(?:' + chr(92) + 's+level)?' + chr(92) + 's*:' + chr(92) + 's*([^' + chr(92) + 'n' + chr(92) + 'r]+)', ', 1)[-1]']))}, ' *_\"'''), 1, 40), replace(regexp_extract_all(low, '([0-9]{{1,3}}\\s*%)\\s*confidence', 1)[-1], ' ', ''), 'unknown') AS confidence FROM l",
+    f"WITH {RESPONSES}, l AS (SELECT conv_id, turn, lower(response) AS low FROM responses) SELECT conv_id, turn, coalesce(substr(trim({STRIP.format(SAID)}, ' *_\"'''), 1, 40), replace(regexp_extract_all(low, '([0-9]{{1,3}}\\s*%)\\s*confidence', 1)[-1], ' ', ''), 'unknown') AS confidence FROM l",
 )
 def extract_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return responses(spark, sf).select("conv_id", "turn", answers.confidence("response").alias("confidence"))
