@@ -11,7 +11,7 @@ from ..sources import manifest
 from ..streaming import resume
 from .registry import query
 
-PLAIN = r"regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+PLAIN = r"regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 
 INNER = "regexp_replace(b, '^<[^>]*>', '')"
 TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
