@@ -39,7 +39,7 @@ def blocks_of(text: str) -> list[list[str]]:
     for para in re.split(r"\n\s*\n+", text.strip()):
         lines = [x.strip() for x in para.strip().split("\n") if x.strip()]
         starts = [i for i, line in enumerate(lines) if not i or MARKER.match(line)]
-        out += [" ".join(lines[a:b]).split() for a, b in zip(starts, [*starts[1:], len(lines)], strict=True)]
+        out += [" ".join(lines[a:b]).split() for a, b in zip(starts, [*starts[1:], len(lines)], strict=False)]
     return [b for b in out if b]
 
 

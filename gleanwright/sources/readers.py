@@ -22,13 +22,15 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 def json_lines_lenient(spark: SparkSession, path: str, schema: str, bad: str = "_corrupt") -> tuple[DataFrame, DataFrame]:
     """JSON lines and the lines that are none, both kept."""
-    raw = spark.read.schema(f"{schema}, {bad} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path)
-    return raw.filter(F.col(bad).isNull()).drop(bad), raw.filter(F.col(bad).isNotNull()).select(bad)
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.select("value", F.from_json("value", f"{schema}, {bad} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}).alias("r"))
+    broken = F.col("r").isNull() | F.col(f"r.{bad}").isNotNull()
+    return parsed.filter(~broken).select("r.*").drop(bad), parsed.filter(broken).select(F.col("value").alias(bad))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_number, line) of small line files, numbered within each file."""
-    whole = spark.read.option("wholetext", True).text(path).withColumn("path", F.input_file_name())
+    whole = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
     return whole.select("path", F.posexplode(F.split("value", "\n")).alias("n", "line")).select("path", (F.col("n") + 1).alias("line_number"), "line").filter(F.trim("line") != "")
 
 
