@@ -86,12 +86,19 @@ RULES: list[tuple[str, str]] = [
     ("MIT", "MIT"), ("BSD-3-Clause", "BSD3"), ("BSD-2-Clause", "BSD2"), ("BSD", "BSD"), ("ISC", "ISC"),
     ("AllRightsReserved", "AllRights"),
 ]
+#: A machine-readable tag is a sentence of its own, and keeps its hyphens.
+TAG = r"spdx-license-identifier=([a-z0-9.+-]*[a-z0-9+])"
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def normalised(sentence: Column) -> Column:
     """ASCII lower case; runs of other signs than letters, digits and inner dots and pluses become one space."""
     low = F.translate(sentence, *LOWER)
+    tag = F.regexp_extract(low, TAG, 1)
+    return F.when(tag != "", F.concat(F.lit("spdx license identifier "), tag)).otherwise(_words(low))
+
+
+def _words(low: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9.+]+", " "), r"\.+( |$)", " "))
 
 
@@ -130,7 +137,8 @@ def scan(docs: DataFrame, column: str = "text", names: tuple[str, str] = ("sente
     ids, found, raw = (fresh(n, docs.columns) for n in (*names, "_sentences"))
     # one cheap test of the whole text; most texts end here
     hit = F.translate(F.col(column), *LOWER).rlike(r"licen[sc]e|warrant|redistribut|permission|spdx|public\s+domain|rights\s+reserved|gnu\.org|copyright\s+notice|liab|misrepresent|endorse|claim\s+that\s+you|free\s+software")
-    cut = F.filter(F.transform(F.split(F.col(column), ENDS), normalised), lambda s: s.rlike(TRIGGERS))
+    tagged = F.regexp_replace(F.col(column), r"(?i)(spdx-license-identifier):[ \t]*([a-z0-9.+-]*[a-z0-9+])", "\n\n$1=$2\n\n")
+    cut = F.filter(F.transform(F.split(tagged, ENDS), normalised), lambda s: s.rlike(TRIGGERS))
     out = docs.withColumn(raw, F.when(hit, cut).otherwise(F.array().cast("array<string>")))
     known = F.filter(F.transform(F.coalesce(F.col(raw), F.array().cast("array<string>")), identifier), lambda x: x.isNotNull())
     out = out.withColumn(ids, F.when(F.size(raw) > 0, known).otherwise(F.array().cast("array<string>"))).drop(raw)
