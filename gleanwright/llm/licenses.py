@@ -114,22 +114,22 @@ def identifier(sentence: Column) -> Column:
 
 
 def rule_pattern(sequence: str) -> str:
-    """A regular expression over identifiers that are written |Name=version|Name|."""
+    """A regular expression over identifiers that are written |Name=version||Name|."""
     out, first = "", True
     for part in sequence.split():
         name, maybe = part.rstrip("?"), part.endswith("?")
-        one = rf"\|{name}(?:=([a-z0-9.+-]*))?" if first and not maybe else rf"\|{name}(?:=[a-z0-9.+-]*)?"
+        one = rf"\|{name}(?:=([a-z0-9.+-]*))?\|" if first and not maybe else rf"\|{name}(?:=[a-z0-9.+-]*)?\|"
         first = first and maybe
         out += f"(?:{one})?" if maybe else one
-    return out + r"(?=\|)"
+    return out
 
 
 def licences(ids: Column) -> Column:
-    """Licence names for identifiers written |a|b|, by the ordered rules; names are written <name>."""
+    """Licence names for identifiers written |a||b|, by the ordered rules, each name or unused identifier as <name> or |identifier|."""
     out = ids
     for name, sequence in RULES:
-        out = F.regexp_replace(out, rule_pattern(sequence), f"|<{name.replace('[v]', '$1')}>")
-    return F.regexp_replace(F.regexp_replace(out, r"\|[A-Za-z0-9]+(?:=[a-z0-9.+-]*)?(?=\|)", "|<UNKNOWN>"), r"-?>", ">")
+        out = F.regexp_replace(out, rule_pattern(sequence), f"<{name.replace('[v]', '$1')}>")
+    return F.regexp_replace(F.regexp_replace(out, r"\|[^|<>]*\|", "<UNKNOWN>"), r"-?>", ">")
 
 
 def scan(docs: DataFrame, column: str = "text", names: tuple[str, str] = ("sentence_ids", "licenses")) -> DataFrame:
@@ -142,5 +142,5 @@ def scan(docs: DataFrame, column: str = "text", names: tuple[str, str] = ("sente
     out = docs.withColumn(raw, F.when(hit, cut).otherwise(F.array().cast("array<string>")))
     known = F.filter(F.transform(F.coalesce(F.col(raw), F.array().cast("array<string>")), identifier), lambda x: x.isNotNull())
     out = out.withColumn(ids, F.when(F.size(raw) > 0, known).otherwise(F.array().cast("array<string>"))).drop(raw)
-    named = licences(F.concat(F.lit("|"), F.array_join(ids, "|"), F.lit("|")))
-    return out.withColumn(found, F.when(F.size(ids) > 0, F.filter(F.transform(F.split(named, r"\|"), lambda x: F.regexp_extract(x, "^<(.*)>$", 1)), lambda x: x != "")).otherwise(F.array().cast("array<string>")))
+    named = licences(F.array_join(F.transform(ids, lambda x: F.concat(F.lit("|"), x, F.lit("|"))), ""))
+    return out.withColumn(found, F.when(F.size(ids) > 0, F.regexp_extract_all(named, F.lit("<([^>]*)>"), F.lit(1))).otherwise(F.array().cast("array<string>")))

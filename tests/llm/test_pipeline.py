@@ -38,3 +38,19 @@ def test_queries_give_rows(spark, name):
     docs = spark.read.parquet(f"{SF}/documents.parquet").count()
     got = queries.QUERIES[name](spark, SF).count()
     assert got == docs or name.startswith(("op4", "op9", "op10")) and got > 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_equal_their_sql(spark, name):
+    import glob
+
+    import duckdb
+
+    c = duckdb.connect()
+    for p in glob.glob(f"{SF}/*.parquet"):
+        c.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM read_parquet('{p}')")
+    r = c.execute(queries.ORACLES[name])
+    names = [d[0] for d in r.description]
+    df = queries.QUERIES[name](spark, SF)
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(str, ([x[c] for c in names] for x in df.collect()))) == sorted(str(list(x)) for x in r.fetchall())
