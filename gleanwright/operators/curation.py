@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import capital, clean_label, health_status
 from ..functions.text import title_case
+from ..session import by_size
 
 
 def normalize_labels(pairs: DataFrame, mapping: DataFrame) -> DataFrame:
     """(crop, disease) with norm_crop, norm_disease: healthy; the crop's own mapping; any crop's mapping; else the cleaned label.
 
     mapping: (ord, crop, canonical, alias), each canonical name being an alias too. It is a dictionary of names, so it is
-    broadcast, and pairs are reduced to distinct ones before they meet it. The smallest ord that fits wins; equality before
+    broadcast if it is counted to be small, and pairs are reduced to distinct ones before they meet it. The smallest ord that fits wins; equality before
     containment where the order asks for it."""
     keys = pairs.select("crop", "disease").distinct()
     keys = keys.withColumns({"c": F.lower(F.btrim("crop")), "d": clean_label("disease")})
     keys = keys.withColumn("both", F.btrim(F.concat_ws("_", "c", "d"), F.lit("_")))
-    m = F.broadcast(mapping.select("ord", F.col("crop").alias("mc"), F.col("canonical").alias("mcan"), clean_label("alias").alias("a")))
+    m = by_size(mapping.select("ord", F.col("crop").alias("mc"), F.col("canonical").alias("mcan"), clean_label("alias").alias("a")))
     n, d, c, both, a = F.length("a"), F.col("d"), F.col("c"), F.col("both"), F.col("a")
     own = (F.lower("mc") == c) & ((d == a) | ((n > 4) & d.contains(a)) | ((F.length(d) > 4) & a.contains(d)))
     equal = F.when((a == both) & (both != "unknown"), 0).when((a == d) & (d != "unknown"), 1).when((a == c) & (c != "unknown"), 2)

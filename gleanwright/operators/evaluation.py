@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import by_size
+
 
 def majority(runs: DataFrame, item: str = "item", prediction: str = "prediction", seq: str = "seq") -> DataFrame:
     """(item, prediction, votes, runs): the most frequent prediction; ties go to the one seen first."""
@@ -61,7 +63,7 @@ def confusion_long(pairs: DataFrame) -> DataFrame:
     """(truth, prediction, n) for all pairs of labels that occur as either; the label set is small by nature."""
     c = counts(pairs)
     labels = c.select(F.col("truth").alias("l")).union(c.select("prediction")).distinct()
-    grid = labels.select(F.col("l").alias("truth")).join(F.broadcast(labels.select(F.col("l").alias("prediction"))))
+    grid = labels.select(F.col("l").alias("truth")).join(by_size(labels.select(F.col("l").alias("prediction"))))
     return grid.join(c, ["truth", "prediction"], "left").na.fill(0, ["n"])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import filter_label, tokens
+from ..session import by_size
 from .hybrid import check_preference
 
 #: Evidence types over all entry points, and what marks an answer as refused.
@@ -90,3 +91,24 @@ def blocked(answer: Column | str) -> Column:
 def evidence_block(index: Column, fields: list[tuple[str, Column]], content: Column) -> Column:
     lines = [F.concat(F.lit("[EVIDENCE "), index, F.lit("]")), *(F.concat(F.lit(f"{n}: "), F.coalesce(c.cast("string"), F.lit(""))) for n, c in fields), F.lit("content:"), F.coalesce(content, F.lit("")), F.concat(F.lit("[/EVIDENCE "), index, F.lit("]"))]
     return F.concat_ws("\n", *lines)
+
+
+def development_flags(source: Column | str, sample: str) -> dict[str, Column]:
+    """Whether a record may count as authority, and whether it is there for development only."""
+    c = F.col(source) if isinstance(source, str) else source
+    return {"authoritative": ~c.eqNullSafe(sample), "development_only": c.eqNullSafe(sample)}
+
+
+def compose_query(crop: Column | str, disease: Column | str, question: Column | str) -> Column:
+    """The retrieval query of a diagnosed case: crop, condition in words, question; what is missing is left out."""
+    parts = [F.col(x) if isinstance(x, str) else x for x in (crop, disease, question)]
+    parts[1] = F.replace(parts[1], F.lit("_"), F.lit(" "))
+    return F.concat_ws(" ", *(F.nullif(F.btrim(p), F.lit("")) for p in parts))
+
+
+def nearest_intent(texts: DataFrame, examples: DataFrame, key: str, text: str, least: float = 0.5) -> DataFrame:
+    """(key, intent, score): the intent of the example utterance whose tokens a text covers best, if it covers `least` of them."""
+    e = by_size(examples.select("intent", "utterance"), 10_000)
+    scored = texts.select(key, text).join(e).withColumn("score", overlap_score("utterance", text)).filter(F.col("score") >= least)
+    order = Window.partitionBy(key).orderBy(F.desc("score"), "intent", "utterance")
+    return scored.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(key, "intent", "score")

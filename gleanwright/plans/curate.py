@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import tables as t
 from ..functions import labels, text
 from ..operators import curation
+from ..session import by_size
 from .registry import query
 
 N = f"WITH {t.NAMES}"
@@ -62,7 +63,7 @@ def dict_normalize(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("class_dir_name", "SELECT n_nationkey, replace(n_name, ' ', '_') || '___' || CASE WHEN n_nationkey % 3 = 0 THEN 'healthy' ELSE replace(r_name, ' ', '_') END AS folder FROM nation JOIN region ON n_regionkey = r_regionkey")
 def class_dir_name(spark: SparkSession, sf: str) -> DataFrame:
-    n = t.load(spark, sf, "nation").join(F.broadcast(t.load(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = t.load(spark, sf, "nation").join(by_size(t.load(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     return n.select("n_nationkey", labels.class_folder("n_name", F.col("n_nationkey") % 3 == 0, "r_name", F.lit("")).alias("folder"))
 
 
@@ -73,7 +74,7 @@ def class_dir_name(spark: SparkSession, sf: str) -> DataFrame:
 def class_match(spark: SparkSession, sf: str) -> DataFrame:
     n = t.names(spark, sf)
     targets = n.select(F.col("noun").alias("target")).distinct()
-    folders = F.broadcast(n.select("folder").distinct())  # names of classes
+    folders = by_size(n.select("folder").distinct())
     a, b = F.lower("folder"), F.lower("target")
     hit = targets.join(folders, a.contains(b) | b.contains(a)).groupBy("target").agg(F.min(F.struct((F.col("folder") != F.col("target")).cast("int").alias("s"), "folder")).alias("m"))
     return hit.select("target", "m.folder")

@@ -10,6 +10,7 @@ from ..functions import text
 from ..operators import chunking, policy
 from ..sources import readers
 from . import retrieval as r
+from ..session import by_size
 from .registry import query
 
 WORDS = r"list_filter(regexp_split_to_array(content, '[\s\x{00A0}\x0B]+'), lambda x: x <> '')"
@@ -154,7 +155,7 @@ STATUS = f"{JUDGED}, status AS (SELECT query_id, count(*) FILTER (reason IS NULL
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
-    q = F.broadcast(t.queries(spark, sf))
+    q = by_size(t.queries(spark, sf))
     return r.merged(spark, sf).select("query_id", "knowledge_id", "vector_score", "bm25_score").join(q, "query_id").join(t.records(spark, sf), "knowledge_id")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import tables as t
 from ..functions import text, vectors
 from ..operators import dense, hybrid, lexical
+from ..session import by_size
 from .registry import query
 
 TOKENS = r"regexp_extract_all(lower({0}), '[a-z0-9]+(?:[_-][a-z0-9]+)*')"
@@ -90,7 +91,7 @@ SELECT query_id, knowledge_id, score, rank FROM (SELECT *, {TOP.format("knowledg
 )
 def vector_filtered(spark: SparkSession, sf: str) -> DataFrame:
     pool = dense.vector_top(t.record_vectors(spark, sf), t.query_vectors(spark, sf), "knowledge_id", 25).drop("rank")
-    hits = pool.join(t.records(spark, sf).drop("content"), "knowledge_id").join(F.broadcast(t.queries(spark, sf).select("query_id", "preference")), "query_id")
+    hits = pool.join(t.records(spark, sf).drop("content"), "knowledge_id").join(by_size(t.queries(spark, sf).select("query_id", "preference")), "query_id")
     hits = hits.filter(hybrid.eligible("preference") & (F.col("evidence_type") == "treatment")).select("query_id", "knowledge_id", "score")
     return lexical.top(hits, "query_id", "score", "knowledge_id", 5)
 
@@ -150,7 +151,7 @@ def recommendation_search(spark: SparkSession, sf: str) -> DataFrame:
     wanted = t.queries(spark, sf).select("query_id", text.lookup_label("want_crop").alias("c"))
     v = t.record_vectors(spark, sf).join(crops, "knowledge_id")
     q = t.query_vectors(spark, sf).join(wanted, "query_id")
-    pairs = v.select("knowledge_id", "c", vectors.normalized("vector").alias("v")).join(F.broadcast(q.select("query_id", "c", vectors.normalized("vector").alias("q"))), "c")
+    pairs = v.select("knowledge_id", "c", vectors.normalized("vector").alias("v")).join(by_size(q.select("query_id", "c", vectors.normalized("vector").alias("q")), 10_000), "c")
     return pairs.select("query_id", "knowledge_id", F.round(vectors.dot("v", "q"), 6).alias("score"))
 
 
