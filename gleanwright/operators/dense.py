@@ -2,20 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vectors import dot, normalized
 from ..session import by_size
 from .lexical import top
 
+#: With no more queries than this (counted), they are one matrix beside each batch of vectors.
+MATRIX_ROWS = 10_000
+
 
 def cosine_scores(vectors: DataFrame, queries: DataFrame, key: str, query_key: str = "query_id", vector: str = "vector") -> DataFrame:
     """(query_key, key, score) for each pair of a stated query and a vector; queries are broadcast only if counted to be few."""
     v = vectors.select(key, normalized(vector).alias("v"))
     q = queries.select(query_key, normalized(vector).alias("q"))
-    return v.join(by_size(q, 10_000)).select(query_key, key, F.round(dot("v", "q"), 6).alias("score"))
+    return v.join(by_size(q, MATRIX_ROWS)).select(query_key, key, F.round(dot("v", "q"), 6).alias("score"))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+
+
+def _matrix_top(vectors: DataFrame, queries: DataFrame, key: str, k: int, query_key: str, vector: str, others: bool) -> DataFrame:
+    """The k best of each query within each batch of vectors, by one matrix product a batch."""
+    table = queries.select(query_key, F.transform(vector, lambda x: x.cast("double")).alias("v")).toArrow()
+    ids, rows = table.column(0).to_pylist(), table.column(1).to_pylist()
+    dim = max(map(len, rows), default=0)
+    use = [i for i, r in enumerate(rows) if len(r) == dim]
+    q, ids = _unit(np.array([rows[i] for i in use], float).reshape(len(use), dim)), [ids[i] for i in use]
+    own = np.array(ids)
+    block = max(1, 4_000_000 // max(1, len(ids)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            whole = whole.filter(pa.compute.equal(pa.compute.list_value_length(whole.column(1)), dim))
+            for lo in range(0, whole.num_rows, block):
+                b = whole.slice(lo, block)
+                keys = b.column(0).to_numpy(zero_copy_only=False)
+                v = _unit(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+                s = np.round(q @ v.T, 6)
+                if others:
+                    s[own[:, None] == keys[None, :]] = -np.inf
+                n = min(k, s.shape[1])
+                low = np.partition(s, -n, axis=1)[:, -n]
+                r, c = np.nonzero((s >= low[:, None]) & (s > -np.inf))
+                order = np.lexsort((keys[c], -s[r, c], r))
+                r, c = r[order], c[order]
+                first = np.arange(len(r)) - np.searchsorted(r, r) < k
+                r, c = r[first], c[first]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in r.tolist()], query_type), b.column(0).take(pa.array(c)), pa.array(s[r, c])], names=[query_key, key, "score"])
+
+    query_type = table.schema.field(0).type
+    schema = T.StructType([T.StructField(query_key, queries.schema[query_key].dataType), T.StructField(key, vectors.schema[key].dataType), T.StructField("score", T.DoubleType())])
+    return vectors.select(key, F.transform(vector, lambda x: x.cast("double")).alias("v")).mapInArrow(run, schema)
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, key: str, k: int, query_key: str = "query_id") -> DataFrame:
-    return top(cosine_scores(vectors, queries, key, query_key), query_key, "score", key, k)
+def vector_top(vectors: DataFrame, queries: DataFrame, key: str, k: int, query_key: str = "query_id", vector: str = "vector", others: bool = False) -> DataFrame:
+    """The k vectors with the highest cosine (six decimals, ties by smaller key) for each query; others=True leaves out a query's own key."""
+    if queries.limit(MATRIX_ROWS + 1).count() <= MATRIX_ROWS:
+        scores = _matrix_top(vectors, queries, key, k, query_key, vector, others)
+    else:
+        scores = cosine_scores(vectors, queries, key, query_key, vector)
+        scores = scores.filter(F.col(query_key) != F.col(key)) if others else scores
+    return top(scores, query_key, "score", key, k)

@@ -201,7 +201,6 @@ def eval_retrieval_at_k(spark: SparkSession, sf: str) -> DataFrame:
 def neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """Each vector with every other, ranked: a stated query set against all rows."""
     v = t.vectors(spark, sf)
-    s = dense.cosine_scores(v, v.withColumnRenamed("vec_id", "query_id"), "vec_id").filter("query_id <> vec_id")
-    near = lexical.top(s, "query_id", "score", "vec_id", 5, "k")
+    near = dense.vector_top(v, v.withColumnRenamed("vec_id", "query_id"), "vec_id", 5, others=True).withColumnRenamed("rank", "k")
     labels = v.select("vec_id", "label")
     return near.join(labels.withColumnsRenamed({"vec_id": "query_id"}), "query_id").join(labels.withColumnRenamed("label", "other"), "vec_id")

@@ -112,6 +112,20 @@ def test_vectors_rank_by_cosine(spark):
     assert [(r.k, r.score) for r in dense.vector_top(v, q, "k", 2).orderBy("rank").collect()] == [(1, 1.0), (2, 0.0)]
 
 
+@pytest.mark.parametrize("others", [False, True])
+def test_matrix_and_column_paths_agree(spark, monkeypatch, others):
+    import numpy as np
+
+    x = np.random.default_rng(1).integers(-2, 3, (60, 3)).astype(float).tolist()
+    v = spark.createDataFrame([(i, r) for i, r in enumerate(x)], "k long, vector array<double>").repartition(4)
+    q = v.filter("k % 7 = 0").withColumnRenamed("k", "query_id")
+    got = [sorted(map(tuple, dense.vector_top(v, q, "k", 5, others=others).collect()))]
+    monkeypatch.setattr(dense, "MATRIX_ROWS", 3)
+    got.append(sorted(map(tuple, dense.vector_top(v, q, "k", 5, others=others).collect())))
+    assert got[0] == got[1] and len(got[0]) == 45
+    assert dense.vector_top(v, q.limit(0), "k", 5).count() == 0
+
+
 def test_label_normalisation_golden(spark):
     m = [("tomato", "early_blight"), ("pepper", "bacterial_spot"), ("pepper,_bell", "bacterial_spot"), ("corn", "common_rust"), ("corn_(maize)", "common_rust"), ("corn", "northern_leaf_blight"), ("apple", "apple_scab")]
     mapping = spark.createDataFrame([(i, c, d, d) for i, (c, d) in enumerate(m)], "ord int, crop string, canonical string, alias string")
