@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import coalesce_blank, words
+from ..session import spread
 
 MARKER = re.compile(r"(?:[-*•]|\d+[.)]|[A-Za-z][.)])\s+")
 
@@ -84,7 +85,7 @@ def chunk_pack(records: DataFrame, key: str = "knowledge_id", text: str = "conte
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((b.schema.field(0).type, pa.int32(), pa.int32(), pa.string()))], names=[key, "chunk_index", "total_chunks", "content"])
 
     kind = records.schema[key]
-    return records.select(key, text).mapInArrow(run, T.StructType([kind, T.StructField("chunk_index", T.IntegerType()), T.StructField("total_chunks", T.IntegerType()), T.StructField("content", T.StringType())]))
+    return spread(records.select(key, text)).mapInArrow(run, T.StructType([kind, T.StructField("chunk_index", T.IntegerType()), T.StructField("total_chunks", T.IntegerType()), T.StructField("content", T.StringType())]))
 
 
 def chunk_id(key: Column | str, index: Column | str) -> Column:

@@ -23,3 +23,9 @@ def session(name: str = "gleanwright", master: str | None = None, partitions: in
 def by_size(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is counted to be small enough; otherwise for a shuffled join."""
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its input has few splits (a small file is often one row group); larger inputs stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
