@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import coalesce_blank, words
-from ..session import spread
+from ..session import ready, spread
 
 MARKER = re.compile(r"(?:[-*•]|\d+[.)]|[A-Za-z][.)])\s+")
 
@@ -84,6 +84,7 @@ def chunk_pack(records: DataFrame, key: str = "knowledge_id", text: str = "conte
             rows = [(k, i, len(cs), " ".join(c)) for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for cs in [pack_text(x, **sizes)] for i, c in enumerate(cs)]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((b.schema.field(0).type, pa.int32(), pa.int32(), pa.string()))], names=[key, "chunk_index", "total_chunks", "content"])
 
+    ready(records.sparkSession)
     kind = records.schema[key]
     return spread(records.select(key, text)).mapInArrow(run, T.StructType([kind, T.StructField("chunk_index", T.IntegerType()), T.StructField("total_chunks", T.IntegerType()), T.StructField("content", T.StringType())]))
 

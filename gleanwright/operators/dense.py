@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import dot, normalized
-from ..session import by_size
+from ..session import by_size, ready
 from .lexical import top
 
 #: With no more queries than this (counted), they are one matrix beside each batch of vectors.
@@ -32,6 +32,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _matrix_top(vectors: DataFrame, queries: DataFrame, key: str, k: int, query_key: str, vector: str, others: bool) -> DataFrame:
     """The k best of each query within each batch of vectors, by one matrix product a batch."""
+    ready(vectors.sparkSession)
     table = queries.select(query_key, F.transform(vector, lambda x: x.cast("double")).alias("v")).toArrow()
     ids, rows = table.column(0).to_pylist(), table.column(1).to_pylist()
     dim = max(map(len, rows), default=0)

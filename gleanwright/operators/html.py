@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, clean, col, stable_id, strip, tidy_label
-from ..session import spread
+from ..session import ready, spread
 
 DROPPED = "(?is)<(script|style|noscript|iframe)\\b.*?</(?:script|style|noscript|iframe)>"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -141,6 +141,7 @@ def sections(pages: DataFrame, key: str, html: str = "html", url: str = "url", s
             rows = [(k, *r) for k, h in zip(p[key], p[html], strict=True) for r in section_rows(h)]
             yield pd.DataFrame(rows, columns=[key, "counter", "section", "subsection", "content"])
 
+    ready(pages.sparkSession)
     kind = pages.schema[key].dataType.simpleString()
     walked = spread(pages.select(key, html)).mapInPandas(run, f"{key} {kind}, counter int, section string, subsection string, content string")
     head = pages.select(key, F.col(source).alias("source"), F.col(url).alias("source_uri"), stable_id(url).alias("document_id"), title(html).alias("document_title"))

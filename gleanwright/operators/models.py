@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ready
+
 PROMPT = "question:{} \n \n passage:{}"
 
 
@@ -48,6 +50,7 @@ def generate(rows: DataFrame, load: Callable[[], Callable[[pd.DataFrame], list[s
         for b in batches:
             yield b.assign(**{name: model(b)})
 
+    ready(rows.sparkSession)
     schema = rows.withColumn(name, F.lit("")).schema
     return rows.filter(gate).mapInPandas(run, schema).unionByName(rows.filter(~F.coalesce(gate, F.lit(False))).withColumn(name, F.lit(None).cast("string")))
 

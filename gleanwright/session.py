@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,13 @@ def by_size(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
+def ready(spark: SparkSession) -> None:
+    """Let Python workers import this package also when the driver found it by sys.path alone."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if root not in (have := env.get("PYTHONPATH", "")).split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores if its input has few splits (a small file is often one row group); larger inputs stay where they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
