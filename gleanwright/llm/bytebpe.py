@@ -48,7 +48,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE and its inverse modulo 2**64, to the powers 0..n-1."""
     if len(_pow[0]) < n:
         for k, base in enumerate((BASE, pow(BASE, -1, 2**64))):
-            steps = np.full(max(n, 1 << 21), base, U64)
+            steps = np.full(max(n, 1 << 20), base, U64)
             steps[0] = 1
             _pow[k] = np.cumprod(steps)
     return _pow[0], _pow[1]

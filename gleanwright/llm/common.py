@@ -33,6 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Tables that cut() has made and forget() has not deleted.
+_cuts: set[str] = set()
+
+
 def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends here, and a lost executor costs no recomputation before it."""
     spark = df.sparkSession
@@ -41,17 +45,29 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    _cuts.add(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _cuts.discard(path)
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete tables made by cut() that nothing will read again."""
     for df in frames:
         if path := getattr(df, "_cut_path", None):
-            spark = df.sparkSession
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all tables that cut() made in this process; call it when no result of an operator is needed any more."""
+    paths = list(_cuts)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def few(df: DataFrame, bound: int = BROADCAST_ROWS) -> bool:
@@ -64,7 +80,7 @@ def by_size(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few(df, bound) else df
 
 
-def texts(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def texts(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about `most` bytes of text. A longer text is a slice of its own and stays whole."""
     for batch in batches:
         col, lo, size = batch.column(column), 0, 0

@@ -113,3 +113,12 @@ def test_top_k(spark, monkeypatch, bins):
     got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df.filter("vec_id % 50 = 0"), df, 5).collect()}
     assert got == best(rows, range(0, 451, 50), 5)
     assert topk.top_k(df.limit(0), df, 5).count() == topk.top_k(df.filter("vec_id = 50"), df.limit(0), 5).count() == 0
+
+
+def test_cuts_are_swept(spark):
+    from gleanwright.llm.common import cut, forget, sweep
+
+    a, b = cut(spark.range(3)), cut(spark.range(4))
+    assert a.count() == 3 and b.count() == 4
+    forget(a)
+    assert sweep(spark) >= 1 and sweep(spark) == 0
