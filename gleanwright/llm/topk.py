@@ -53,10 +53,9 @@ def _packed(rows: int):
     return run
 
 
-def _grid(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Each block of queries beside each block of rows of its length."""
+def _grid(queries: DataFrame, rows: DataFrame, slots: int) -> DataFrame:
+    """Each block of queries beside each block of rows of its length; slots: as many as the blocks of rows were dealt over."""
     q = queries.mapInArrow(_packed(QUERY_BLOCK), "dim int, v binary, id binary, lo binary, step binary, above binary").withColumnRenamed("v", "qv").withColumnRenamed("id", "qid")
-    slots = rows.sparkSession.sparkContext.defaultParallelism * 4
     q = q.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     return q.join(rows, ["dim", "slot"]).select("qid", "qv", "lo", "step", "above", "id", "v", "dim")
 
@@ -110,7 +109,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id"
     """(query_id, rank, vec_id, score): the k best of `vectors` for each row of `queries`; both have id_col and vector."""
     spark = vectors.sparkSession
     ready(spark)
-    slots = spark.sparkContext.defaultParallelism * 4
+    slots = spark.sparkContext.defaultParallelism * 4  # asked once: it falls when an executor is lost, and each pass must meet every block
     ints = integers(vectors, id_col, vector, scale)
     rows = cut(ints.mapInArrow(_packed(ROW_BLOCK), "dim int, v binary, id binary").withColumn("slot", F.pmod(F.monotonically_increasing_id(), F.lit(slots)).cast("int")))
     asked = cut(integers(queries, id_col, vector, scale).groupBy("id").agg(F.min("v").alias("v")))
@@ -121,7 +120,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id"
     state = asked.select("id", F.lit(-top).cast("long").alias("lo"), F.lit(-(-(2 * top + 1) // BINS)).cast("long").alias("step"), F.lit(0).cast("long").alias("above"))
     width = 2 * top + 1
     while width > 1:
-        grid = _grid(asked.join(state, "id").repartition(parts), rows)
+        grid = _grid(asked.join(state, "id").repartition(parts), rows, slots)
         counts = grid.mapInArrow(_histogram(k, width), "id long, bin long, n long").groupBy("id", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
         run = counts.withColumn("so_far", F.sum("n").over(down))
@@ -133,6 +132,6 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id"
         width = -(-width // BINS)
         old, state = state, cut(found.unionByName(short))
         forget(old)
-    best = _grid(asked.join(state, "id").repartition(parts), rows).mapInArrow(_best(k), "query_id long, vec_id long, score long")
+    best = _grid(asked.join(state, "id").repartition(parts), rows, slots).mapInArrow(_best(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
