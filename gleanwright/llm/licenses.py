@@ -6,7 +6,7 @@ order, are then rewritten by ordered licence rules: each rule is a sequence of i
 contain, and what no rule uses is UNKNOWN. Long and short forms of a licence end in the same name.
 
 Sentences end at . ! or ? before white space, at ; or : before white space, and at blank lines; other line breaks are white
-space, so a sentence may be wrapped over lines. Only sentences that hold one of the trigger words are looked at further; every
+space, so a sentence may be wrapped over lines. Only sentences that hold one of KEYS are looked at further; every form of every
 known phrase holds one. Defined cases: a null or empty text has no sentences and no licences; repeated rows are scanned one by
 one; other columns pass unchanged.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 ENDS = r"(?:[.!?;:][\x20\t\r\n]+)|(?:\n[\x20\t\r]*\n)"
-#: Every phrase below holds one of these.
+#: The sentence filter of the DuckDB oracle, which leaves out the Creative Commons names and parts of the BSD text.
 TRIGGERS = r"licen[sc]e|warrant|redistribut|permission|spdx|public domain|all rights reserved|gnu org|copyright notice|liab|misrepresent|endorse|claim that you wrote|free software"
 #: Identifier and phrase (a regular expression over a normalised sentence), in the order in which they are tried. A group is a version.
 SENTENCES: list[tuple[str, str]] = [
@@ -89,6 +89,10 @@ RULES: list[tuple[str, str]] = [
 #: A machine-readable tag is a sentence of its own, and keeps its hyphens.
 TAG = r"spdx-license-identifier=([a-z0-9.+-]*[a-z0-9+])"
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Words of a normalised sentence; each form of each phrase above holds one. cc0 and cc by count only as words of their own.
+KEYS = rf"{TRIGGERS}|(?<![a-z0-9])(?:cc0|cc by)(?![a-z0-9])|creative commons|attribution (?:noncommercial|sharealike|noderiv)|names? of (?:its|the) contributors|software is provided by"
+#: The same over a whole text in lower case, where any other signs may stand between two words.
+RAW_KEYS = KEYS.replace(" ", "[^a-z0-9+]+")
 
 
 def normalised(sentence: Column) -> Column:
@@ -136,9 +140,9 @@ def scan(docs: DataFrame, column: str = "text", names: tuple[str, str] = ("sente
     """docs with the identifiers of the known sentences of `column`, in order, and the licences that they make: arrays of strings."""
     ids, found, raw = (fresh(n, docs.columns) for n in (*names, "_sentences"))
     # one cheap test of the whole text; most texts end here
-    hit = F.translate(F.col(column), *LOWER).rlike(r"licen[sc]e|warrant|redistribut|permission|spdx|public\s+domain|rights\s+reserved|gnu\.org|copyright\s+notice|liab|misrepresent|endorse|claim\s+that\s+you|free\s+software")
+    hit = F.translate(F.col(column), *LOWER).rlike(RAW_KEYS)
     tagged = F.regexp_replace(F.col(column), r"(?i)(spdx-license-identifier):[ \t]*([a-z0-9.+-]*[a-z0-9+])", "\n\n$1=$2\n\n")
-    cut = F.filter(F.transform(F.split(tagged, ENDS), normalised), lambda s: s.rlike(TRIGGERS))
+    cut = F.filter(F.transform(F.split(tagged, ENDS), normalised), lambda s: s.rlike(KEYS))
     out = docs.withColumn(raw, F.when(hit, cut).otherwise(F.array().cast("array<string>")))
     known = F.filter(F.transform(F.coalesce(F.col(raw), F.array().cast("array<string>")), identifier), lambda x: x.isNotNull())
     out = out.withColumn(ids, F.when(F.size(raw) > 0, known).otherwise(F.array().cast("array<string>"))).drop(raw)

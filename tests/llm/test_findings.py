@@ -1,8 +1,11 @@
+import re
+
 import numpy as np
+import pytest
 from pyspark import SparkContext
 from pyspark.sql import functions as F
 
-from gleanwright.llm import topk
+from gleanwright.llm import licenses, topk
 
 
 def test_top_k_outlives_a_lost_executor(spark, monkeypatch):
@@ -15,3 +18,48 @@ def test_top_k_outlives_a_lost_executor(spark, monkeypatch):
     monkeypatch.setattr(SparkContext, "defaultParallelism", property(lambda self: next(cores, 1)))
     got = topk.top_k(df.filter(F.col("vec_id") % 30 == 0), df, k=5).collect()
     assert {(r.query_id, r.vec_id) for r in got} == want
+
+
+def forms(phrase):
+    """Every text that a phrase of SENTENCES stands for, with 2.0 for a version and without what may be missing."""
+    p = re.sub(r"\(\[a-z0-9\.\+-\]\+\)", "mit", phrase.replace(r"\b", ""))
+    p = re.sub(r"\[a-z0-9 ?\.?\+?-?\][*+]\??", "", p.replace("([0-9.]*[0-9])", "2.0")).replace(",?", "").replace("noderiv", "noderivatives").replace("[sc]", "s").replace("ation2.0", "ation 2.0")
+    out = [p]
+    while any("(?:" in x or "?" in x or "|" in x for x in out):
+        step = []
+        for x in out:
+            if m := re.search(r"\(\?:([^()]*)\)(\?)?", x):
+                step += [x[: m.start()] + y + x[m.end() :] for y in [*m[1].split("|"), *([""] if m[2] else [])]]
+            elif "|" in x:
+                step += x.split("|")
+            elif m := re.search(r"(.)\?", x):
+                step += [x[: m.start()] + y + x[m.end() :] for y in (m[1], "")]
+            else:
+                step.append(x)
+        out = step
+    return sorted({re.sub(" +", " ", x).strip() for x in out})
+
+
+def test_every_phrase_alone_is_identified(spark):
+    texts = [(name, f) for name, phrase in licenses.SENTENCES for f in forms(phrase) if re.search(phrase, f)]
+    assert {n for n, _ in texts} == {n for n, _ in licenses.SENTENCES}
+    # plain, in capitals, and wrapped in a comment block
+    rows = [(n, v) for n, f in texts for v in (f"{f}.", f.upper(), "/* " + f.replace(" ", "\n * ") + " */")]
+    out = licenses.scan(spark.createDataFrame(rows, "name string, text string")).collect()
+    assert not [(r.name, r.text) for r in out if not r.sentence_ids]
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Released under CC0 1.0.", ["CC0-1.0"]),
+        ("Available under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
+        ("Creative Commons Attribution 4.0 International", ["CC-BY-4.0"]),
+        ("Text: Attribution-NonCommercial-ShareAlike 3.0.", ["CC-BY-NC-SA-3.0"]),
+        ("/* All rights\n * reserved. */", ["AllRightsReserved"]),
+        ("See __CC0__ for terms", ["CC0"]),
+        ("Commits 3fcc0a91 and cc0f12ab fix it.", []),
+    ],
+)
+def test_licences_without_the_word(spark, text, want):
+    assert licenses.scan(spark.createDataFrame([(text,)], "text string")).first().licenses == want
