@@ -1,14 +1,14 @@
-"""Document quality by an interpolated modified Kneser-Ney model of characters, trained on trusted text.
+"""Document quality by an interpolated modified Kneser-Ney model of code points of order 6, trained on trusted text.
 
-Characters are mapped to an alphabet of SYMBOLS signs (letters, classes of accented letters, digits, punctuation, capitals), so a
-table of all ORDER-grams has a proven bound: SYMBOLS ** ORDER rows, ten megabytes of float32. Counts of all trusted text are
-summed in each task and then by shard; continuation counts, discounts, context totals and interpolated probabilities are joins of
-the count tables on n-gram, context and suffix, each sharded by its key. Only the finished table of fixed bound is broadcast, and
-each text is scored where it lies: its perplexity over all of its characters. (Sending each n-gram of each text to the shards
-instead would shuffle several times the corpus for the same numbers.)
+Every code point is a symbol of its own. An n-gram is a pair of exact integers of three symbols each, so the tables have no bound
+but the text: a row for each n-gram and each context that occurs in the trusted text. Counts, continuation counts, discounts,
+context totals and interpolated probabilities are joins of count tables on n-gram, context and suffix, sharded by these.
 
-A text is kept if its perplexity is at most the threshold of its language: the QUANTILE of the trusted texts of that language,
-from a histogram of log-perplexity in steps of 0.001, times 1 + SLACK, and times exp(SPREAD / sqrt(characters)), since the mean
+A text's perplexity is over all of its characters. If the model's counted rows are at most MODEL_ROWS it is broadcast and texts are
+scored where they lie; otherwise the distinct n-grams of each text are joined to the sharded tables. Both give the same numbers.
+
+A text is kept if its perplexity is at most the threshold of its language: the QUANTILE of trusted texts of that language
+(held out: half of them, by a model of the other half, if both halves have texts), from a histogram of log-perplexity in steps of 0.001, times 1 + SLACK, and times exp(SPREAD / sqrt(characters)), since the mean
 of few characters strays further. A language with under LEAST trusted texts, or none, takes
 the threshold over all languages. Defined cases: a null or empty text has a null perplexity and is not kept; without any trusted
 text there is no threshold and every text with characters is kept; a null language is a language of its own; repeated rows are
@@ -17,14 +17,12 @@ scored one by one; other columns pass unchanged.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,75 +30,89 @@ from . import bytebpe
 from .bpe_codec import added
 from .common import by_size, cut, forget, fresh, ready, texts
 
-SYMBOLS, ORDER = 40, 4
+BITS, HALF = 21, 3
+SYMBOLS, ORDER = 1 << BITS, 2 * HALF
+#: Rows of the model up to which it is broadcast (20 bytes each).
+MODEL_ROWS = 6_000_000
 QUANTILE, SLACK, SPREAD, LEAST, STEP = 0.99, 0.05, 1.5, 20, 0.001
-CAPITAL, VOWEL, LATIN, LETTER, OTHER, DIGIT, SPACE, SIGN = 35, 36, 37, 38, 39, 29, 27, 34
-
-
-@lru_cache(1)
-def alphabet() -> np.ndarray:
-    """The symbol of each code point up to U+FFFF; 0 stands before each text."""
-    table = np.full(0x10000, OTHER, np.int32)
-    for cp in range(0x10000):
-        c = chr(cp)
-        kind = unicodedata.category(c)
-        if kind == "Lu":
-            table[cp] = CAPITAL
-        elif kind[0] == "L":
-            table[cp] = LETTER if cp >= 0x250 else VOWEL if unicodedata.normalize("NFD", c)[0] in "aeiou" else LATIN
-        elif kind[0] == "N":
-            table[cp] = DIGIT
-        elif kind == "Zs":
-            table[cp] = SPACE
-        elif cp < 128:
-            table[cp] = SIGN
-    for chars, symbol in (("\n", 28), (".", 30), (",", 31), ("'\"-", 32), (";:!?()", 33), ("\t\r", SPACE)):
-        for c in chars:
-            table[ord(c)] = symbol
-    for k in range(26):
-        table[97 + k] = 1 + k
-    return table
 
 
 def grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The ORDER-gram that ends at each character of each text, as a number, and where each text's begin (one more entry)."""
+    """The HALF-gram that ends at each character of each text, as a number, and where each text's begin (one more entry); a symbol is a code point plus one, 0 stands before each text."""
     raw, offsets = bytebpe.column_bytes(col)
     buf = np.frombuffer(raw, np.uint8)
     lead = np.flatnonzero((buf & 0xC0) != 0x80)
-    b = buf[lead].astype(np.int32)
-    sym = alphabet()[b]
-    wide = np.flatnonzero(b >= 0xC0)
+    sym = buf[lead].astype(np.int64)
+    wide = np.flatnonzero(sym >= 0xC0)
     if len(wide):
-        pad = np.concatenate([buf, np.zeros(4, np.uint8)]).astype(np.int32)
-        at, w = lead[wide], b[wide]
-        t1, t2 = pad[at + 1] & 63, pad[at + 2] & 63
-        cp = np.where(w < 0xE0, (w & 31) << 6 | t1, np.where(w < 0xF0, (w & 15) << 12 | t1 << 6 | t2, 0xFFFF))
-        sym[wide] = alphabet()[cp]
+        pad = np.concatenate([buf, np.zeros(4, np.uint8)]).astype(np.int64)
+        at, w = lead[wide], sym[wide]
+        t1, t2, t3 = pad[at + 1] & 63, pad[at + 2] & 63, pad[at + 3] & 63
+        sym[wide] = np.where(w < 0xE0, (w & 31) << 6 | t1, np.where(w < 0xF0, (w & 15) << 12 | t1 << 6 | t2, (w & 7) << 18 | t1 << 12 | t2 << 6 | t3))
+    sym += 1
     starts = np.searchsorted(lead, offsets)
     code = sym.copy()
-    since = np.arange(len(sym)) - np.repeat(starts[:-1], np.diff(starts)) if len(sym) else np.zeros(0, np.int64)
-    for back in range(1, ORDER):
-        before = np.zeros_like(sym)
-        before[back:] = sym[:-back] if len(sym) > back else 0
-        before[since < back] = 0
-        code += before * SYMBOLS**back
+    for back in range(1, HALF):
+        code += _before(sym, starts, back) << BITS * back
     return code, starts
 
 
+def _before(x: np.ndarray, starts: np.ndarray, back: int) -> np.ndarray:
+    """The entry `back` places before, in the same text, or 0."""
+    out = np.zeros_like(x)
+    out[back:] = x[:-back] if len(x) > back else 0
+    for k in range(back):
+        at = starts[:-1] + k
+        out[at[at < starts[1:]]] = 0
+    return out
+
+
+def distinct(lo: np.ndarray, starts: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """The distinct ORDER-grams (of each group): the place of one of each, which of them each place has, and their counts."""
+    low, first = np.unique(lo, return_inverse=True)
+    # ranks of HALF-grams are below 2 ** 31, and rank 0 is where nothing stands before
+    rank = first.astype(np.int64) + 1
+    key = _before(rank, starts, HALF) * (len(low) + 1) + rank
+    if group is not None:
+        one, key = np.unique(key, return_inverse=True)
+        key = group * len(one) + key
+    _, which, n = np.unique(key, return_inverse=True, return_counts=True)
+    at = np.zeros(len(n), np.int64)
+    at[which] = np.arange(len(which))
+    return at, which, n
+
+
 def _count(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SYMBOLS**ORDER, np.int64)
-    for b in texts(batches, column):
-        total += np.bincount(grams(b.column(column))[0], minlength=len(total))
-    code = np.flatnonzero(total)
-    for lo in range(0, len(code), 100_000):
-        yield pa.RecordBatch.from_pydict({"code": code[lo : lo + 100_000], "n": total[code[lo : lo + 100_000]]})
+    for b in texts(batches, column, 1 << 21):
+        lo, starts = grams(b.column(column))
+        at, _, n = distinct(lo, starts)
+        hi, lo = _before(lo, starts, HALF)[at], lo[at]
+        for k in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_pydict({"hi": hi[k : k + 100_000], "lo": lo[k : k + 100_000], "n": n[k : k + 100_000]})
 
 
 @dataclass(frozen=True)
 class KneserNey:
-    """log p of each ORDER-gram's last symbol after the others; None without trusted text."""
+    """Of each order, from 1: (hi, lo, p) of n-grams and (hi, lo, w), the weight of the lower order after a context; None without trusted text."""
+
+    levels: list[tuple[DataFrame, DataFrame]] | None
+
 
-    table: np.ndarray | None
+def _suffix(k: int, hi, lo):
+    """The last k symbols of a gram, for columns and for arrays."""
+    cut_at = lambda x, n: (x.bitwiseAND(F.lit((1 << BITS * n) - 1)) if isinstance(x, Column) else x & ((1 << BITS * n) - 1))
+    return (cut_at(hi, k - HALF), lo) if k > HALF else (hi * 0, cut_at(lo, k))
+
+
+def _context(hi, lo):
+    """A gram without its last symbol, for columns and for arrays."""
+    if isinstance(hi, Column):
+        return F.shiftright(hi, BITS), F.shiftleft(hi.bitwiseAND(F.lit(SYMBOLS - 1)), BITS * (HALF - 1)).bitwiseOR(F.shiftright(lo, BITS))
+    return hi >> BITS, (hi & (SYMBOLS - 1)) << BITS * (HALF - 1) | lo >> BITS
+
+
+def _named(pair, names=("hi", "lo")):
+    return [c.cast("long").alias(n) for c, n in zip(pair, names, strict=True)]
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -114,51 +126,126 @@ def _discounts(counts: DataFrame) -> list[float]:
 def train(trusted: DataFrame, column: str = "text") -> KneserNey:
     """The model of all rows of `trusted`."""
     ready(trusted.sparkSession)
-    spark = trusted.sparkSession
-    counts = cut(trusted.select(column).mapInArrow(lambda b: _count(b, column), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
+    hi, lo = F.col("hi"), F.col("lo")
+    counts = cut(trusted.select(column).mapInArrow(lambda b: _count(b, column), "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n")))
     if counts.isEmpty():
         return KneserNey(None)
     levels = [counts]  # ORDER, then continuation counts of lower orders
     for k in range(ORDER - 1, 0, -1):
-        levels.insert(0, levels[0].groupBy((F.col("code") % SYMBOLS**k).alias("code")).agg(F.count(F.lit(1)).alias("n")))
-    p = spark.createDataFrame([(0, 1.0 / SYMBOLS)], "code long, p double")  # below the lowest order: uniform
-    table = np.full(1, np.log(1.0 / SYMBOLS))
+        levels.insert(0, cut(levels[0].groupBy(*_named(_suffix(k, hi, lo))).agg(F.count(F.lit(1)).alias("n"))))
+    done: list[tuple[DataFrame, DataFrame]] = []
     for k, level in enumerate(levels, 1):
         d1, d2, d3 = _discounts(level)
         cost = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        totals = level.groupBy(F.expr(f"code div {SYMBOLS}").alias("ctx")).agg(F.sum("n").alias("total"), F.sum(cost).alias("free"))
-        seen = level.select("code", (F.col("n") - cost).alias("rest"))
-        # all symbols after each context that occurs; after any other context the lower order holds
-        grid = totals.select("total", "free", "ctx", F.explode(F.sequence(F.lit(0), F.lit(SYMBOLS - 1))).alias("w"))
-        rows = grid.withColumn("code", F.col("ctx") * SYMBOLS + F.col("w")).withColumn("low", F.col("code") % SYMBOLS ** (k - 1)).join(seen, "code", "left").join(p.select(F.col("code").alias("low"), F.col("p").alias("q")), "low")
-        lower, p = p, cut(rows.select("code", ((F.coalesce("rest", F.lit(0.0)) + F.col("free") * F.col("q")) / F.col("total")).alias("p")))
-        forget(lower)
-        got = p.toArrow()
-        table = np.tile(table, SYMBOLS)
-        table[got.column("code").to_numpy()] = np.log(got.column("p").to_numpy())
-    forget(counts, p)
-    return KneserNey(table.astype(np.float32))
-
-
-def score(docs: DataFrame, model: KneserNey, column: str = "text", names: tuple[str, str] = ("n_symbols", "perplexity")) -> DataFrame:
-    """docs with the number of characters of `column` and their perplexity."""
+        ctx = level.withColumns(dict(zip(("chi", "clo"), _context(hi, lo), strict=True)))
+        totals = cut(ctx.groupBy("chi", "clo").agg(F.sum("n").alias("total"), F.sum(cost).alias("free")))
+        seen = ctx.select("hi", "lo", "chi", "clo", (F.col("n") - cost).alias("rest")).join(totals, ["chi", "clo"])
+        if k == 1:  # below the lowest order: uniform
+            seen = seen.withColumn("q", F.lit(1.0 / SYMBOLS))
+        else:
+            low = done[-1][0].select(F.col("hi").alias("shi"), F.col("lo").alias("slo"), F.col("p").alias("q"))
+            seen = seen.withColumns(dict(zip(("shi", "slo"), _suffix(k - 1, hi, lo), strict=True))).join(low, ["shi", "slo"])
+        p = cut(seen.select("hi", "lo", ((F.col("rest") + F.col("free") * F.col("q")) / F.col("total")).alias("p")))
+        done.append((p, totals.select(F.col("chi").alias("hi"), F.col("clo").alias("lo"), (F.col("free") / F.col("total")).alias("w"))))
+    forget(*levels)
+    return KneserNey(done)
+
+
+class Table:
+    """Values of grams in sorted arrays: ranks of both halves make one key."""
+
+    def __init__(self, hi: np.ndarray, lo: np.ndarray, value: np.ndarray):
+        self.his, a = np.unique(hi, return_inverse=True)
+        self.los, b = np.unique(lo, return_inverse=True)
+        key = a.astype(np.int64) * len(self.los) + b
+        order = np.argsort(key)
+        self.key, self.value = key[order], value[order].astype(np.float32)
+
+    def get(self, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each gram is here, and its value or any other."""
+        a, b = (np.minimum(np.searchsorted(t, x), len(t) - 1) for t, x in ((self.his, hi), (self.los, lo)))
+        key = a * len(self.los) + b
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return (self.his[a] == hi) & (self.los[b] == lo) & (self.key[at] == key), self.value[at]
+
+
+def _log_p(tables: list[tuple[Table, Table]], hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """log p of the last symbol of each gram of as many symbols as there are tables."""
+    if not tables:
+        return np.full(len(hi), -np.log(float(SYMBOLS)))
+    k = len(tables)
+    found, value = tables[-1][0].get(hi, lo)
+    out = value.astype(np.float64)
+    rest = np.flatnonzero(~found)
+    if len(rest):
+        hi, lo = hi[rest], lo[rest]
+        known, weight = tables[-1][1].get(*_context(hi, lo))
+        below = _log_p(tables[:-1], *_suffix(k - 1, hi, lo)) if k > 1 else _log_p([], hi, lo)
+        out[rest] = below + np.where(known, weight, 0.0)
+    return out
+
+
+def _collected(levels: list[tuple[DataFrame, DataFrame]]) -> list[tuple[Table, Table]]:
+    def table(df: DataFrame) -> Table:
+        got = df.toArrow()
+        return Table(*(got.column(c).to_numpy() for c in ("hi", "lo")), np.log(got.column(2).to_numpy()))
+
+    return [(table(p), table(w)) for p, w in levels]
+
+
+def score(docs: DataFrame, model: KneserNey, column: str = "text", names: tuple[str, str] = ("n_symbols", "perplexity"), most: int | None = None) -> DataFrame:
+    """docs with the number of characters of `column` and their perplexity; most: rows of the model that are broadcast, MODEL_ROWS if not given."""
     ready(docs.sparkSession)
     names = tuple(fresh(n, docs.columns) for n in names)
-    table = docs.sparkSession.sparkContext.broadcast(model.table)
+    if model.levels and sum(p.count() + w.count() for p, w in model.levels) > (MODEL_ROWS if most is None else most):
+        return _score_sharded(docs, model.levels, column, names)
+    tables = docs.sparkSession.sparkContext.broadcast(_collected(model.levels) if model.levels else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in texts(batches, column):
-            code, starts = grams(b.column(column))
+            lo, starts = grams(b.column(column))
             n = np.diff(starts)
-            total = np.zeros(len(code) + 1)
-            if table.value is not None:
-                np.cumsum(table.value[code], dtype=np.float64, out=total[1:])
+            total = np.zeros(len(lo) + 1)
+            if tables.value is not None and len(lo):
+                at, which, _ = distinct(lo, starts)
+                np.cumsum(_log_p(tables.value, _before(lo, starts, HALF)[at], lo[at])[which], out=total[1:])
             value = np.exp(-(total[starts[1:]] - total[starts[:-1]]) / np.maximum(n, 1))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(value, pa.float64(), mask=(n == 0) | (table.value is None))], names=[*b.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(value, pa.float64(), mask=(n == 0) | (tables.value is None))], names=[*b.schema.names, *names])
 
     return docs.mapInArrow(run, added(docs, list(names), [T.LongType(), T.DoubleType()]))
 
 
+def _score_sharded(docs: DataFrame, levels: list[tuple[DataFrame, DataFrame]], column: str, names: tuple[str, str]) -> DataFrame:
+    """score() by joins: the distinct grams of all texts get their log p from the tables, and those of each text take it from there."""
+    row = fresh("_row", [*docs.columns, *names])
+    kept = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in texts(batches, column):
+            lo, starts = grams(b.column(column))
+            text = np.repeat(np.arange(b.num_rows), np.diff(starts))
+            at, _, n = distinct(lo, starts, text)
+            hi, lo, ids = _before(lo, starts, HALF)[at], lo[at], b.column(row).to_numpy()[text[at]]
+            for k in range(0, len(at), 100_000):
+                yield pa.RecordBatch.from_pydict({row: ids[k : k + 100_000], "hi": hi[k : k + 100_000], "lo": lo[k : k + 100_000], "n": n[k : k + 100_000]})
+
+    each = kept.select(row, column).mapInArrow(run, f"{row} long, hi long, lo long, n long")
+    hi, lo = F.col("hi"), F.col("lo")
+    some = each.select("hi", "lo").distinct().select("hi", "lo", F.lit(0.0).alias("w"), F.lit(None).cast("double").alias("lp"))
+    for k in range(len(levels), 0, -1):
+        p, w = levels[k - 1]
+        at = some.withColumns(dict(zip(("ghi", "glo"), _suffix(k, hi, lo), strict=True)))
+        at = at.withColumns(dict(zip(("chi", "clo"), _context(F.col("ghi"), F.col("glo")), strict=True)))
+        at = at.join(p.select(F.col("hi").alias("ghi"), F.col("lo").alias("glo"), "p"), ["ghi", "glo"], "left")
+        at = at.join(w.select(F.col("hi").alias("chi"), F.col("lo").alias("clo"), F.col("w").alias("v")), ["chi", "clo"], "left")
+        lower = F.col("lp").isNull() & F.col("p").isNull()
+        some = at.select("hi", "lo", (F.col("w") + F.when(lower, F.coalesce(F.log("v"), F.lit(0.0))).otherwise(0.0)).alias("w"), F.coalesce("lp", F.col("w") + F.log("p")).alias("lp"))
+    some = cut(some.select("hi", "lo", F.coalesce("lp", F.col("w") - float(np.log(SYMBOLS))).alias("lp")))
+    sums = each.join(some, ["hi", "lo"]).groupBy(row).agg(F.sum("n").alias(names[0]), F.sum(F.col("n") * F.col("lp")).alias("_sum"))
+    out = kept.join(sums.withColumnRenamed(row, "_r"), F.col(row) == F.col("_r"), "left")
+    return out.select(*docs.columns, F.coalesce(names[0], F.lit(0)).cast("long").alias(names[0]), F.exp(-F.col("_sum") / F.col(names[0])).alias(names[1]))
+
+
 def thresholds(scored: DataFrame, lang: str = "lang", perplexity: str = "perplexity", quantile: float = QUANTILE, slack: float = SLACK, least: int = LEAST) -> DataFrame:
     """(lang, threshold): one row for each language with enough rows, and one whose `every` is true, over all."""
     step = F.floor(F.log(perplexity) / STEP).alias("step")
@@ -176,8 +263,15 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, column: str = "text", lang
     trusted = docs.join(ids, key, "left_semi")
     model = train(trusted, column)
     names = [fresh(n, docs.columns) for n in ("n_symbols", "perplexity", "threshold", "kept")]
-    limit = cut(thresholds(score(trusted.select(column, lang), model, column), lang))
+    # by text, so that copies are on one side
+    side = F.pmod(F.xxhash64(column), F.lit(2))
+    half = train(trusted.filter(side == 0), column)
+    held = trusted.filter(side == 1).select(column, lang)
+    limit = cut(thresholds(score(held, half, column), lang))
     every = limit.filter("every").first()
+    if every is None:
+        limit = cut(thresholds(score(trusted.select(column, lang), model, column), lang))
+        every = limit.filter("every").first()
     scored = score(docs, model, column, (names[0], names[1]))
     own_lang, own_limit = (fresh(n, [*docs.columns, *names]) for n in ("own_lang", "own_limit"))
     own = limit.filter("NOT every").select(F.col("lang").alias(own_lang), F.col("threshold").alias(own_limit))

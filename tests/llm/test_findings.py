@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from pyspark import SparkContext
 from pyspark.sql import functions as F
 
-from gleanwright.llm import licenses, topk
+from gleanwright.llm import licenses, quality, topk
 
 
 def test_top_k_outlives_a_lost_executor(spark, monkeypatch):
@@ -63,3 +64,29 @@ def test_every_phrase_alone_is_identified(spark):
 )
 def test_licences_without_the_word(spark, text, want):
     assert licenses.scan(spark.createDataFrame([(text,)], "text string")).first().licenses == want
+
+
+def test_quality_tables_grow_and_both_ways_of_scoring_agree(spark):
+    rng = random.Random(33)
+    words = ["der", "die", "Das", "haus", "Ελλάδα", "русский", "日本", "🙂", "é"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 30))) for _ in range(40)]
+    model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert [p.count() for p, _ in model.levels] == [len({("\0" * 5 + t)[k + 6 - n : k + 6] for t in texts for k in range(len(t))}) for n in range(1, 7)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, texts[0], "Ελλάδα αδάλλΕ", "中国 日本", "x", ""]] + [(None,)], "text string")
+    key = lambda r: (r.text or "", r.n_symbols)
+    near, far = (sorted(quality.score(rows, model, most=most).collect(), key=key) for most in (None, 0))
+    assert len(near) == len(far) == rows.count()
+    for a, b in zip(near, far, strict=True):
+        assert key(a) == key(b) and (a.perplexity is b.perplexity is None or abs(a.perplexity / b.perplexity - 1) < 1e-5)
+    value = {r.text: r.perplexity for r in near}
+    assert value["Ελλάδα αδάλλΕ"] > 5 * max(value[t] for t in texts if len(t) > 20)
+
+
+def test_quality_drops_one_ordinary_word_repeated(spark):
+    rng = random.Random(34)
+    words = ["the", "river", "runs", "under", "old", "bridge", "and", "people", "walk", "there", "every", "day"]
+    # no word twice in a row
+    clean = [". ".join(" ".join(rng.sample(words, 8)).capitalize() for _ in range(8)) for _ in range(150)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*clean, "The " * 80])], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in quality.keep_good(df, df.filter("doc_id < 120").select("doc_id")).collect()}
+    assert kept == set(range(150))
