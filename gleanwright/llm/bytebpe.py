@@ -2,8 +2,8 @@
 
 The pattern is P.PATTERN of public_tokenizers: contractions, then runs of letters, of digits and of other signs, each with one
 space before it, then white space. A piece never depends on text outside it but for white space, whose last character goes to
-what follows; so pieces can be found by comparing neighbouring characters, all at once. Pieces are named by a 64-bit hash of
-their bytes and length while they wait in the cache; a chance for two of a million pieces to share one is under 1e-7.
+what follows; so pieces can be found by comparing neighbouring characters, all at once. Pieces are found in the cache by a 64-bit
+hash of their bytes and are compared with the cached bytes on every hit, so two pieces with one hash still get their own ids.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 SPECIAL = b"<|endoftext|>"
 #: Code points with the White_Space property.
 WHITE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-BASE, U64 = 0x9E3779B97F4A7C15 | 1, np.uint64
-SLOT_BITS, MOST_PIECES = 20, 1_500_000
+U64 = np.uint64
+SLOT_BITS, MOST_PIECES, MOST_BYTES = 20, 1_500_000, 1 << 26
+#: Places within a span whose values are kept in a table.
+PLACES = 64
 
 
 @lru_cache(1)
@@ -36,40 +38,44 @@ def classes() -> np.ndarray:
     return table
 
 
-@lru_cache(1)
-def _byte_values() -> np.ndarray:
-    return np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> U64(27))) * U64(0x94D049BB133111EB)
+    return h ^ (h >> U64(31))
 
 
-_pow = [np.ones(1, U64), np.ones(1, U64)]
+def drawn(place: np.ndarray, sign: np.ndarray, bits: int = 8) -> np.ndarray:
+    """A pseudo-random number for each sign (of `bits` bits) at each place. Sums of them have no structure that repeated text could meet."""
+    return mixed((place.astype(U64) << U64(bits) | sign.astype(U64)) * U64(0x9E3779B97F4A7C15) + U64(0x9E3779B97F4A7C15))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and its inverse modulo 2**64, to the powers 0..n-1."""
-    if len(_pow[0]) < n:
-        for k, base in enumerate((BASE, pow(BASE, -1, 2**64))):
-            steps = np.full(max(n, 1 << 20), base, U64)
-            steps[0] = 1
-            _pow[k] = np.cumprod(steps)
-    return _pow[0], _pow[1]
+@lru_cache(1)
+def _drawn_bytes() -> np.ndarray:
+    return drawn(np.repeat(np.arange(PLACES), 256), np.tile(np.arange(256), PLACES))
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> U64(27))) * U64(0x94D049BB133111EB)
-    return h ^ (h >> U64(31))
+def spread_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All positions of all spans, one span after another; each position's place in its span; and where each span ends among them."""
+    size = end - start
+    total = np.cumsum(size)
+    place = np.arange(total[-1] if len(total) else 0) - np.repeat(total - size, size)
+    return place + np.repeat(start, size), place, total
 
 
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span."""
-    up, down = powers(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, U64)
-    np.cumsum(_byte_values()[buf] * up[: len(buf)], out=total[1:])
-    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
-
-
-def pieces(buf: np.ndarray, first: np.ndarray, special: np.ndarray | None = None) -> np.ndarray:
-    """Where pieces start in buf (UTF-8). first: where each text starts, ascending, without empty texts; special: which texts are one piece."""
+    """A 64-bit hash of the bytes of each span: the sum of a number for each byte at its place in the span, mixed."""
+    at, place, total = spread_spans(start, end)
+    sign = buf[at]
+    value = _drawn_bytes()[np.minimum(place, PLACES - 1) << 8 | sign]
+    if len(far := np.flatnonzero(place >= PLACES)):
+        value[far] = drawn(place[far], sign[far])
+    run = np.zeros(len(value) + 1, U64)
+    np.cumsum(value, out=run[1:])
+    return mixed(run[total] - run[total - (end - start)] + (end - start).astype(U64))
+
+
+def byte_classes(buf: np.ndarray) -> np.ndarray:
+    """For each byte of UTF-8 the class of its character."""
     n = len(buf)
     cls = classes()[buf]
     if len(lead := np.flatnonzero(buf >= 0xC0)):
@@ -83,6 +89,13 @@ def pieces(buf: np.ndarray, first: np.ndarray, special: np.ndarray | None = None
             at = lead + k
             ok = (b0 >= least) & (at < n)
             cls[at[ok]] = kind[ok]
+    return cls
+
+
+def pieces(buf: np.ndarray, first: np.ndarray, special: np.ndarray | None = None) -> np.ndarray:
+    """Where pieces start in buf (UTF-8). first: where each text starts, ascending, without empty texts; special: which texts are one piece."""
+    n = len(buf)
+    cls = byte_classes(buf)
     begins = np.zeros(n + 1, bool)
     begins[first] = True
     change = begins[:n].copy()
@@ -117,6 +130,13 @@ def pieces(buf: np.ndarray, first: np.ndarray, special: np.ndarray | None = None
     return np.flatnonzero(start[:n])
 
 
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """x, made longer until it holds n."""
+    while len(x) < n:
+        x = np.concatenate([x, np.zeros_like(x)])
+    return x
+
+
 class Cache:
     """What `encode` gives for each distinct piece, kept for the life of the worker process."""
 
@@ -130,14 +150,19 @@ class Cache:
         self.slot_entry = np.zeros(1 << SLOT_BITS, np.int32)
         self.flat, self.used = np.zeros(1 << 20, np.int32), 0
         self.off, self.size, self.n = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32), 0
+        self.text, self.text_used = np.zeros(1 << 20, np.uint8), 0  # the pieces themselves
+        self.text_off, self.text_size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
     def _add(self, words: list[bytes]) -> np.ndarray:
         flat, sizes = map(np.array, self.encode(words))
+        text, lengths = b"".join(words), np.fromiter(map(len, words), np.int64, len(words))
         more, k = len(flat), len(sizes)
-        while self.used + more > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.n + k > len(self.off):
-            self.off, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.off, self.size))
+        self.flat, self.text = _room(self.flat, self.used + more), _room(self.text, self.text_used + len(text))
+        self.off, self.size, self.text_off, self.text_size = (_room(x, self.n + k) for x in (self.off, self.size, self.text_off, self.text_size))
+        self.text[self.text_used : self.text_used + len(text)] = np.frombuffer(text, np.uint8)
+        self.text_off[self.n : self.n + k] = self.text_used + np.cumsum(lengths) - lengths
+        self.text_size[self.n : self.n + k] = lengths
+        self.text_used += len(text)
         if more:
             self.flat[self.used : self.used + more] = flat
         self.off[self.n : self.n + k] = self.used + np.cumsum(sizes) - sizes
@@ -147,7 +172,7 @@ class Cache:
 
     def entries(self, raw: bytes, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The entry of each piece."""
-        if self.n > MOST_PIECES:
+        if self.n > MOST_PIECES or self.text_used > MOST_BYTES:
             self.clear()
         h = span_hashes(buf, start, end)
         slot = (h >> U64(64 - SLOT_BITS)).astype(np.int64)
@@ -166,8 +191,20 @@ class Cache:
             entry[miss] = known[back]
             where = (uniq >> U64(64 - SLOT_BITS)).astype(np.int64)
             self.slot_hash[where], self.slot_entry[where] = uniq, known
+        if len(other := self._unlike(entry, buf, start, end)):
+            entry[other] = self._add([raw[s:e] for s, e in zip(start[other].tolist(), end[other].tolist(), strict=True)])
         return entry
 
+    def _unlike(self, entry: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The pieces that are not, byte for byte, those of their entries."""
+        off = self.text_off[entry]
+        bad = self.text_size[entry] != end - start
+        at, place, total = spread_spans(start, end)
+        own = np.minimum(place + np.repeat(off, end - start), len(self.text) - 1)
+        if len(wrong := np.flatnonzero(self.text[own] != buf[at])):
+            bad[np.searchsorted(total, wrong, "right")] = True
+        return np.flatnonzero(bad)
+
     def ids(self, entry: np.ndarray) -> np.ndarray:
         """The ids of the pieces, one after another."""
         sizes = self.size[entry].astype(np.int64)
