@@ -48,8 +48,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), P.path("byte_bpe_50k.json"), limit=1024)
-    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    out = token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), P.path("byte_bpe_50k.json"), limit=1024, fits="fits_chars")
+    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars")
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
