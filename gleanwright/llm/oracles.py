@@ -31,7 +31,7 @@ g AS (SELECT doc_id, count(*) AS c, string_agg(id, ',' ORDER BY k) AS ids, strin
 SELECT d.doc_id, coalesce(c, 0) AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(array_to_string(regexp_extract_all({named}, '<([^>]*)>', 1), ','), '') AS licenses FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id"""
 
 
-LINES = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), m AS (SELECT doc_id, pos, trim(raw) AS line FROM l WHERE length(trim(raw)) >= 24),
+LINES = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), m AS (SELECT doc_id, pos, trim(raw) AS line FROM l WHERE length(trim(raw)) >= 1),
 f AS (SELECT line, min(doc_id * 2147483648::HUGEINT + pos) AS place FROM m GROUP BY line),
 k AS (SELECT place, hash(n, i, left(line, i - 1) || chr(1) || substr(line, i + 1)) AS key FROM (SELECT place, line, length(line) AS n, unnest(range(1, length(line) + 1)) AS i FROM f)
   UNION ALL SELECT place, hash(n + 1, i, left(line, i - 1) || chr(1) || substr(line, i)) AS key FROM (SELECT place, line, length(line) AS n, unnest(range(1, length(line) + 2)) AS i FROM f)),

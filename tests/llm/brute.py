@@ -56,7 +56,7 @@ def one_edit(a, b):
     return a[i + 1 :] == (b[i + 1 :] if len(a) == len(b) else b[i:])
 
 
-def without_repeats(rows, least=24):
+def without_repeats(rows, least=0):
     """doc_id -> (lines removed, text that is left); all earlier lines are compared."""
     seen, out = [], {}
     for i, t in sorted(rows):
@@ -66,9 +66,9 @@ def without_repeats(rows, least=24):
         kept = []
         for raw in t.split("\n"):
             line = raw.strip(" ")
-            if len(line) < least or not any(one_edit(line, x) for x in seen):
+            if len(line) < max(1, least) or not any(one_edit(line, x) for x in seen):
                 kept.append(raw)
-            if len(line) >= least:
+            if len(line) >= max(1, least):
                 seen.append(line)
         out[i] = (t.count("\n") + 1 - len(kept), "\n".join(kept))
     return out

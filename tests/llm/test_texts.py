@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -28,13 +29,21 @@ def lines():
     return [(i, "\n".join(edited(rng.choice(base)) for _ in range(rng.randint(0, 6)))) for i in range(120)]
 
 
-def test_repeated_lines(spark):
+@pytest.mark.parametrize("least", [0, 24])
+def test_repeated_lines(spark, least):
     rows = [*lines(), (500, None), (501, ""), (502, "x" * 40_000), (503, "x" * 39_999 + "y"), (504, "z" * 30)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"fp": F.lit(1), "at": F.lit("a")}).repartition(5)
-    out = line_dedup.remove_repeated_lines(df)
+    out = line_dedup.remove_repeated_lines(df, min_chars=least)
     assert out.columns == [*df.columns, "n_removed"]
     got = {r.doc_id: (r.n_removed, r.text) for r in out.collect()}
-    assert got == without_repeats(rows)
+    assert got == without_repeats(rows, least)
+
+
+def test_exact_repeats_alone(spark):
+    df = spark.createDataFrame([(1, "a\nb\n\n a \n"), (2, "b\nbb\n")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in line_dedup.remove_repeated_lines(df, edits=0).collect()) == [(1, "a\nb\n\n"), (2, "bb\n")]
+    with pytest.raises(ValueError):
+        line_dedup.remove_repeated_lines(df, edits=2)
 
 
 def test_window_keys_meet_exactly_at_one_edit():
