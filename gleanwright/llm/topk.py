@@ -1,14 +1,15 @@
 """Exact top-k by inner product: distributed histogram selection.
 
 Every query is scored against every row, block of queries by block of rows. No score leaves its block at first: each block only
-reports, for each query, how many scores lie in the highest bins of the query's interval, as many bins as hold k of its scores.
+reports, for each query, how many of its k highest scores in the query's interval lie in which bin.
 Summed over all blocks these histograms tell which bin holds the k-th highest score; that bin is the next interval, until it is
 one value wide. A last pass keeps what reaches that value, at most k of a block, ties by smaller id. So what is shuffled grows
 with queries times blocks, and no group holds more than k rows of a block.
 
 Vectors become integers, floor(scale * x), and scores are exact. Defined cases: vectors (or ids) that are null or hold null or
 non-finite components take no part; vectors of different lengths have no score with each other; of rows that share a query's id
-the smallest vector is the query, and none of them is its candidate; repeated candidate rows count each.
+the smallest vector is the query, and none of them is its candidate; repeated candidate rows count each; columns beside id_col and
+vector are not read, whatever their names; without queries or candidates there are no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, forget, ready
 
-BINS, ROW_BLOCK, QUERY_BLOCK = 1024, 4096, 512
+BINS, ROW_BLOCK, QUERY_BLOCK = 1 << 16, 4096, 512
 
 
 def usable(vector: str):
@@ -75,17 +76,13 @@ def _histogram(k: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for qid, lo, step, above, _, s, other in _scores(b):
-                at = (s - lo[:, None]) // step[:, None]
-                inside = other & (s >= lo[:, None]) & (s - lo[:, None] < width)
-                rows, bins = np.nonzero(inside)
-                code, n = np.unique(rows * BINS + at[rows, bins], return_counts=True)
-                r, c = code // BINS, code % BINS
-                # from the highest bin down, until this block alone has k
-                total = np.cumsum(n[::-1])[::-1]
-                last = np.searchsorted(r, r, "right")
-                higher = total - n - np.append(total, 0)[last]
-                keep = higher < k
-                yield pa.RecordBatch.from_pydict({"id": qid[r[keep]], "bin": c[keep], "n": n[keep]})
+                none = np.iinfo(np.int64).min
+                s[~(other & (s >= lo[:, None]) & (s - lo[:, None] < width))] = none
+                # a score below k others of this block cannot decide where the k-th of all lies
+                high = np.partition(s, -k, axis=1)[:, -k:] if s.shape[1] > k else s
+                rows, at = np.nonzero(high > none)
+                code, n = np.unique(rows * BINS + (high[rows, at] - lo[rows]) // step[rows], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"id": qid[code // BINS], "bin": code % BINS, "n": n})
 
     return run
 
@@ -111,7 +108,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id"
     ready(spark)
     slots = spark.sparkContext.defaultParallelism * 4  # asked once: it falls when an executor is lost, and each pass must meet every block
     ints = integers(vectors, id_col, vector, scale)
-    rows = cut(ints.mapInArrow(_packed(ROW_BLOCK), "dim int, v binary, id binary").withColumn("slot", F.pmod(F.monotonically_increasing_id(), F.lit(slots)).cast("int")))
+    rows = cut(ints.mapInArrow(_packed(ROW_BLOCK), "dim int, v binary, id binary").withColumn("slot", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slots)).cast("int")))
+    dealt = rows.repartition(slots, "dim", "slot")  # a stated number, so that few blocks still meet all cores
     asked = cut(integers(queries, id_col, vector, scale).groupBy("id").agg(F.min("v").alias("v")))
     norm = lambda df: df.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0] or 0.0
     top = int(np.sqrt(norm(asked)) * np.sqrt(norm(ints)) * (1 + 1e-9)) + 1  # no score is beyond
@@ -120,7 +118,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id"
     state = asked.select("id", F.lit(-top).cast("long").alias("lo"), F.lit(-(-(2 * top + 1) // BINS)).cast("long").alias("step"), F.lit(0).cast("long").alias("above"))
     width = 2 * top + 1
     while width > 1:
-        grid = _grid(asked.join(state, "id").repartition(parts), rows, slots)
+        grid = _grid(asked.join(state, "id").repartition(parts), dealt, slots)
         counts = grid.mapInArrow(_histogram(k, width), "id long, bin long, n long").groupBy("id", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
         run = counts.withColumn("so_far", F.sum("n").over(down))
@@ -132,6 +130,6 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id"
         width = -(-width // BINS)
         old, state = state, cut(found.unionByName(short))
         forget(old)
-    best = _grid(asked.join(state, "id").repartition(parts), rows, slots).mapInArrow(_best(k), "query_id long, vec_id long, score long")
+    best = _grid(asked.join(state, "id").repartition(parts), dealt, slots).mapInArrow(_best(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
