@@ -1,11 +1,14 @@
 """Secrets in whole texts: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
 The patterns find assignments to telling names, access keys and long hexadecimal runs. Beside them, every unbroken run of at
-least MIN_RUN key characters is scored by a first-order Markov model of random strings and one of ordinary identifiers, both
-trained from labelled samples; a run whose ratio passes the threshold is a span of kind `markov`, unless a pattern's span
-overlaps it. The threshold is the highest ratio that any second half of the ordinary samples reaches, plus a margin.
-
-Defined cases: a null or empty text has no spans; repeated rows are scanned one by one; other columns pass unchanged.
+least MIN_RUN key characters (dots and hyphens inside count) is scored by a first-order Markov model of random strings and one of
+ordinary identifiers, both trained from labelled samples; a run whose ratio passes the threshold is a span of kind `markov`. Of a
+run that patterns' spans cover in part, what they leave is scored. The threshold is a high quantile of the ratios of held-out
+ordinary samples, plus a margin.
+
+Defined cases: a null or empty text has no spans; a very long text is scanned whole, in time that grows with its length; repeated
+rows are scanned one by one; an empty table stays empty; other columns pass unchanged, and a new one whose name is taken gets an
+underscore in front.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "markov")
 MIN_RUN = 20
-RUN = re.compile(rf"[A-Za-z0-9+/_]{{{MIN_RUN},}}={{0,2}}")
-MARGIN = 2.0
+RUN = re.compile(rf"(?=[A-Za-z0-9+/_.-]{{{MIN_RUN}}})[A-Za-z0-9+/_.-]+={{0,2}}")
+QUANTILE, MARGIN = 0.999, 2.0
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 #: Ordinary words that names in code, paths and prose are made of.
@@ -51,21 +54,29 @@ ung verbindung verwaltung wissenschaft information heit
 avec bonjour compte chose dans développement élément entre fichier gestion jour maison mention monde nombre nouveau pour queue temps travail
 valeur vers ción archivo ayuda cada como configuracion cuando desarrollo dirección entonces esta fecha gente información llamada mente mundo
 nombre nuevo para persona porque todo trabajo valor""".split()
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_="
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 
 
 def samples(n: int = 4000, seed: int = 7) -> list[tuple[str, bool]]:
     """n labelled strings, by turns random (True) and ordinary (False), from a seeded rule."""
     rng, out = random.Random(seed), []
-    alphabets = [ALPHABET[:64], ALPHABET[:62], ALPHABET[:26] + ALPHABET[52:62], ALPHABET[26:62]]
+    capitals, digits = ALPHABET[:26], ALPHABET[52:62]
+    alphabets = [ALPHABET[:64], ALPHABET[:62], ALPHABET[:62] + "-_", capitals + digits, ALPHABET[26:62], digits + capitals[:6], digits + "abcdef"]
     ascii_words = [w for w in WORDS if w.isascii()]
+    number = lambda k: str(rng.randrange(10**k))
     for _ in range(n // 2):
-        out.append(("".join(rng.choices(rng.choice(alphabets), k=rng.randint(20, 64))), True))
-        w, kind = rng.choices(ascii_words, k=rng.randint(2, 6)), rng.randrange(9)
+        a = rng.choice(alphabets)
+        secret = "".join(rng.choices(a, k=rng.randint(20, 64)))
+        if "-" in a and rng.random() < 0.3:  # parts of a token, joined by dots
+            secret = ".".join([secret, "".join(rng.choices(a, k=rng.randint(20, 64)))])
+        out.append((secret, True))
+        w, kind = rng.choices(ascii_words, k=rng.randint(2, 6)), rng.randrange(15)
         plain = {
             0: "_".join(w), 1: "_".join(w).upper(), 2: w[0] + "".join(x.title() for x in w[1:]), 3: "".join(x.title() for x in w), 4: "/".join(w),
             5: "".join(w), 6: "".join(w).upper(), 7: f"{'_'.join(w)}_{rng.randrange(10**rng.randint(1, 8))}",
-            8: f"{rng.choice('ABCDEFGHIJKLMNOPQRSTUVWXYZ')}{rng.choice('ABCDEFGHIJKLMNOPQRSTUVWXYZ')}{rng.randrange(10**18, 10**22)}" if rng.random() < 0.5 else str(rng.randrange(10**19, 10**26)),
+            8: f"{rng.choice(capitals)}{rng.choice(capitals)}{rng.randrange(10**18, 10**22)}" if rng.random() < 0.5 else str(rng.randrange(10**19, 10**26)),
+            9: "-".join(w), 10: f"www.{''.join(w[:2])}.{rng.choice(('com', 'org', 'net'))}/{'/'.join(w[2:])}.html", 11: ".".join(w), 12: "-".join(x.title() for x in w) + f".{number(2)}",
+            13: f"{rng.randint(1900, 2100)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}-{'-'.join(w)}-v{number(1)}.{number(1)}.{number(2)}", 14: "-".join(number(rng.randint(2, 5)) for _ in range(rng.randint(4, 8))),
         }[kind]
         out.append((plain, False))
     return out
@@ -91,7 +102,7 @@ def _codes() -> np.ndarray:
 
 
 def train(labelled: Iterable[tuple[str, bool]], add: float = 0.5, margin: float = MARGIN) -> MarkovPair:
-    """Fit both models on labelled strings: the first of each two counts, the ordinary ones of the rest set the threshold."""
+    """Fit both models on labelled strings: random ones and the first of each two ordinary ones count, the other ordinary ones set the threshold."""
     labelled = list(labelled)
     n = len(ALPHABET) + 1
     counts = np.full((2, n, n), add)
@@ -106,7 +117,7 @@ def train(labelled: Iterable[tuple[str, bool]], add: float = 0.5, margin: float
             held.append(s)
     logs = np.log(counts / counts.sum(2, keepdims=True))
     pair = MarkovPair(logs[1] - logs[0], 0.0)
-    return MarkovPair(pair.ratio, max([0.0, *map(pair.score, held)]) + margin)
+    return MarkovPair(pair.ratio, max(0.0, float(np.quantile([*map(pair.score, held), 0.0], QUANTILE))) + margin)
 
 
 @lru_cache(1)
@@ -119,11 +130,22 @@ def find(text: str, model: MarkovPair) -> list[tuple[str, int, int]]:
     got = [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     got += [("access", *m.span()) for m in ACCESS.finditer(text)]
     got += [("hex", *m.span()) for m in HEX.finditer(text)]
-    base = [(s, e) for _, s, e in got]
+    base, k = sorted((s, e) for _, s, e in got), 0
     for m in RUN.finditer(text):
-        s, e = m.span()
-        if not any(s < y and x < e for x, y in base) and model.score(m.group()) >= model.threshold:
-            got.append(("markov", s, e))
+        at, end = m.span()
+        while k < len(base) and base[k][1] <= at:
+            k += 1
+        free, j = [], k
+        while j < len(base) and base[j][0] < end:  # what patterns' spans leave of the run
+            free.append((at, base[j][0]))
+            at = max(at, base[j][1])
+            j += 1
+        for s, e in [*free, (at, end)]:
+            if e - s >= MIN_RUN:
+                run = text[s:e]
+                s, e = e - len(run.lstrip("-.")), s + len(run.rstrip("-."))
+                if e - s >= MIN_RUN and model.score(text[s:e]) >= model.threshold:
+                    got.append(("markov", s, e))
     return sorted(got, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
