@@ -8,9 +8,10 @@ of its lengths. Rests that no combination takes are packed greedily: laid end to
 since rests of a length are alike, each one's place follows from the histogram and its rank alone. The last window, if it is not
 full, becomes sequences of powers of two. So nothing is padded, and only rests at those borders are cut.
 
-Ranks within a length are counted in salted groups, so copies of a document that hold a large part of all rows are spread. Ids
-are encoded once; only documents that a border cuts are encoded again. Defined cases: a null or empty text is its end id alone;
-repeated rows are packed one by one; a null doc_id stays null; no rows give no pieces.
+Ranks within a length are counted in groups that rows are dealt to one by one, so rows that are alike in everything are spread too.
+Ids are encoded once; only documents that a border cuts are encoded again. Defined cases: a null or empty text is its end id alone;
+a very long text is packed whole; repeated rows are packed one by one; a null doc_id stays null; other columns are not read,
+whatever their names; no rows give no pieces.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytebpe
 from .common import by_size, cut, forget, ready, texts
 
-WINDOW, GRID, GROUP_ROWS = 1024, 32, 50_000
+WINDOW, GRID, GROUP_ROWS, GROUPS = 1024, 32, 50_000, 1024
 
 
 def combinations(window: int = WINDOW, grid: int = GRID) -> np.ndarray:
@@ -98,14 +100,15 @@ def plan(counts: np.ndarray, window: int = WINDOW) -> tuple[list[tuple[int, int,
 
 def _encoded(path: str, end_id: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bytebpe.library_encoder(path)
+        coder, row = bytebpe.library_encoder(path), TaskContext.get().partitionId() << 40
         for b in texts(batches, "text"):
             flat, off = coder.ids(b.column("text"))
             crcs = []
             for lo, hi in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
                 data = np.append(flat[lo:hi], end_id).astype("<u4").tobytes()
                 crcs.append([zlib.crc32(data[k : k + 4 * window]) for k in range(0, len(data), 4 * window)])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("fp"), pa.array(np.diff(off) + 1), pa.array(crcs, pa.list_(pa.int64()))], names=["doc_id", "fp", "n", "crcs"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("fp"), pa.array(np.diff(off) + 1), pa.array(crcs, pa.list_(pa.int64())), pa.array(np.arange(row, row + b.num_rows))], names=["doc_id", "fp", "n", "crcs", "row"])
+            row += b.num_rows
 
     return run
 
@@ -136,7 +139,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 0) -> D
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("fp"))
-    rows = cut(docs.mapInArrow(_encoded(path, end_id, window), f"doc_id {kind}, fp long, n long, crcs array<long>"))
+    rows = cut(docs.mapInArrow(_encoded(path, end_id, window), f"doc_id {kind}, fp long, n long, crcs array<long>, row long"))
     by_rest = rows.groupBy((F.col("n") % window).cast("int").alias("r")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.expr(f"n div {window}")).alias("full")).collect()
     counts = np.zeros(window, np.int64)
     for x in by_rest:
@@ -156,12 +159,17 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 0) -> D
             borders.append(borders[-1] + (1 << bit))
 
     groups = max(64, -(-total // GROUP_ROWS))
-    keyed = rows.withColumns({"r": (F.col("n") % window).cast("int"), "q": F.expr(f"n div {window}"), "salt": F.pmod(F.xxhash64("doc_id", "fp"), F.lit(groups)).cast("int")})
-    before = Window.partitionBy("salt").orderBy("doc_id", "fp").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = keyed.withColumn("q_in", F.sum("q").over(before) - F.col("q")).withColumn("r_in", F.row_number().over(Window.partitionBy("salt", "r").orderBy("doc_id", "fp")) - 1)
+    keyed = rows.withColumns({"r": (F.col("n") % window).cast("int"), "q": F.expr(f"n div {window}"), "salt": F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")})
+    before = Window.partitionBy("salt").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = keyed.withColumn("q_in", F.sum("q").over(before) - F.col("q")).withColumn("r_in", F.row_number().over(Window.partitionBy("salt", "r").orderBy("row")) - 1)
     sums = cut(keyed.groupBy("salt", "r").agg(F.count(F.lit(1)).alias("c"), F.sum("q").alias("f")))
     by_salt = sums.groupBy("salt").agg(F.sum("f").alias("f"))
-    starts = by_salt.select("salt", (F.sum("f").over(Window.orderBy("salt")) - F.col("f")).alias("q_at"))
+    # sums of sums: no task sees more rows than GROUPS, or groups / GROUPS
+    by_salt = by_salt.withColumn("block", F.expr(f"salt div {GROUPS}"))
+    blocks = by_salt.groupBy("block").agg(F.sum("f").alias("f"))
+    blocks = blocks.select("block", (F.sum("f").over(Window.orderBy("block")) - F.col("f")).alias("block_at"))
+    inside = F.sum("f").over(Window.partitionBy("block").orderBy("salt")) - F.col("f")
+    starts = by_salt.withColumn("inside", inside).join(blocks, "block").select("salt", (F.col("block_at") + F.col("inside")).alias("q_at"))
     ranks = sums.select("salt", "r", (F.sum("c").over(Window.partitionBy("r").orderBy("salt")) - F.col("c")).alias("r_at"))
     ranked = cut(ranked.join(by_size(starts), "salt").join(by_size(ranks), ["salt", "r"]).select("doc_id", "fp", "n", "crcs", "r", "q", (F.col("q_at") + F.col("q_in")).alias("first"), (F.col("r_at") + F.col("r_in")).alias("rank")))
     forget(rows)
