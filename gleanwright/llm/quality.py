@@ -1,18 +1,22 @@
-"""Document quality by an interpolated modified Kneser-Ney model of code points of order 6, trained on trusted text.
+"""Document quality by an interpolated modified Kneser-Ney model of code points of order ORDER, trained on trusted text.
 
-Every code point is a symbol of its own. An n-gram is a pair of exact integers of three symbols each, so the tables have no bound
-but the text: a row for each n-gram and each context that occurs in the trusted text. Counts, continuation counts, discounts,
+Every code point is a symbol of its own. An n-gram is a pair of exact integers of at most three symbols each, so the tables have no
+bound but the text: a row for each n-gram and each context that occurs in the trusted text. Counts, continuation counts, discounts,
 context totals and interpolated probabilities are joins of count tables on n-gram, context and suffix, sharded by these.
 
 A text's perplexity is over all of its characters. If the model's counted rows are at most MODEL_ROWS it is broadcast and texts are
 scored where they lie; otherwise the distinct n-grams of each text are joined to the sharded tables. Both give the same numbers.
 
-A text is kept if its perplexity is at most the threshold of its language: the QUANTILE of trusted texts of that language
-(held out: half of them, by a model of the other half, if both halves have texts), from a histogram of log-perplexity in steps of 0.001, times 1 + SLACK, and times exp(SPREAD / sqrt(characters)), since the mean
-of few characters strays further. A language with under LEAST trusted texts, or none, takes
-the threshold over all languages. Defined cases: a null or empty text has a null perplexity and is not kept; without any trusted
+A text is kept if its perplexity is at most a threshold: the QUANTILE of the trusted texts of its language and of its size (a power
+of two of characters, since the mean of few characters strays further). Where these are fewer than LEAST, it is the quantile over
+texts of that size in all languages; where these are too few, over all sizes of the language; then over all texts. The trusted texts
+that are measured are held out: half of them, by a model of the other half, if both halves have texts. Quantiles are read off
+histograms of log-perplexity in steps of 0.001.
+
+Defined cases: a null or empty text has a null perplexity and is not kept; a very long text is scored whole; without any trusted
 text there is no threshold and every text with characters is kept; a null language is a language of its own; repeated rows are
-scored one by one; other columns pass unchanged.
+scored one by one; an empty table stays empty; other columns pass unchanged, and new ones whose names are taken get an underscore
+in front.
 """
 
 from __future__ import annotations
@@ -28,17 +32,17 @@ from pyspark.sql import types as T
 
 from . import bytebpe
 from .bpe_codec import added
-from .common import by_size, cut, forget, fresh, ready, texts
+from .common import by_size, cut, few, forget, fresh, ready, texts
 
-BITS, HALF = 21, 3
-SYMBOLS, ORDER = 1 << BITS, 2 * HALF
-#: Rows of the model up to which it is broadcast (20 bytes each).
-MODEL_ROWS = 6_000_000
-QUANTILE, SLACK, SPREAD, LEAST, STEP = 0.99, 0.05, 1.5, 20, 0.001
+BITS, HALF, ORDER = 21, 3, 5
+SYMBOLS = 1 << BITS
+#: Rows of the model up to which it is broadcast (20 bytes each), and of thresholds.
+MODEL_ROWS, LANGUAGES = 6_000_000, 10_000
+QUANTILE, LEAST, STEP = 0.999, 100, 0.001
 
 
-def grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The HALF-gram that ends at each character of each text, as a number, and where each text's begin (one more entry); a symbol is a code point plus one, 0 stands before each text."""
+def symbols(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts, one after another, and where each text's begin (one more entry); a symbol is a code point plus one."""
     raw, offsets = bytebpe.column_bytes(col)
     buf = np.frombuffer(raw, np.uint8)
     lead = np.flatnonzero((buf & 0xC0) != 0x80)
@@ -49,12 +53,14 @@ def grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         at, w = lead[wide], sym[wide]
         t1, t2, t3 = pad[at + 1] & 63, pad[at + 2] & 63, pad[at + 3] & 63
         sym[wide] = np.where(w < 0xE0, (w & 31) << 6 | t1, np.where(w < 0xF0, (w & 15) << 12 | t1 << 6 | t2, (w & 7) << 18 | t1 << 12 | t2 << 6 | t3))
-    sym += 1
-    starts = np.searchsorted(lead, offsets)
-    code = sym.copy()
-    for back in range(1, HALF):
-        code += _before(sym, starts, back) << BITS * back
-    return code, starts
+    return sym + 1, np.searchsorted(lead, offsets)
+
+
+def grams(sym: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ORDER-grams that end at the places `at`, as pairs of numbers; 0 stands before each text."""
+    begin = starts[np.searchsorted(starts, at, "right") - 1]
+    one = lambda back: np.where(at - back >= begin, sym[np.maximum(at - back, 0)], 0) << BITS * (back % HALF)
+    return sum(map(one, range(HALF, ORDER)), np.zeros(len(at), np.int64)), sum(map(one, range(HALF)), np.zeros(len(at), np.int64))
 
 
 def _before(x: np.ndarray, starts: np.ndarray, back: int) -> np.ndarray:
@@ -67,26 +73,31 @@ def _before(x: np.ndarray, starts: np.ndarray, back: int) -> np.ndarray:
     return out
 
 
-def distinct(lo: np.ndarray, starts: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+def distinct(sym: np.ndarray, starts: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """The distinct ORDER-grams (of each group): the place of one of each, which of them each place has, and their counts."""
-    low, first = np.unique(lo, return_inverse=True)
-    # ranks of HALF-grams are below 2 ** 31, and rank 0 is where nothing stands before
-    rank = first.astype(np.int64) + 1
-    key = _before(rank, starts, HALF) * (len(low) + 1) + rank
+    used = np.zeros(SYMBOLS + 1, bool)
+    used[sym] = True
+    rank = np.cumsum(used)[sym]  # from 1 on; 0 is where nothing stands before
+    bits = int(used.sum()).bit_length()
+    key, size = rank.copy(), bits
+    for back in range(1, ORDER):
+        if size + bits > 62:  # many symbols: what there is so far becomes a rank
+            one, key = np.unique(key, return_inverse=True)
+            size = len(one).bit_length()
+        key = _before(rank, starts, back) << size | key
+        size += bits
     if group is not None:
         one, key = np.unique(key, return_inverse=True)
         key = group * len(one) + key
-    _, which, n = np.unique(key, return_inverse=True, return_counts=True)
-    at = np.zeros(len(n), np.int64)
-    at[which] = np.arange(len(which))
+    _, at, which, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
     return at, which, n
 
 
 def _count(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    for b in texts(batches, column, 1 << 21):
-        lo, starts = grams(b.column(column))
-        at, _, n = distinct(lo, starts)
-        hi, lo = _before(lo, starts, HALF)[at], lo[at]
+    for b in texts(batches, column):
+        sym, starts = symbols(b.column(column))
+        at, _, n = distinct(sym, starts)
+        hi, lo = grams(sym, starts, at)
         for k in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_pydict({"hi": hi[k : k + 100_000], "lo": lo[k : k + 100_000], "n": n[k : k + 100_000]})
 
@@ -203,12 +214,12 @@ def score(docs: DataFrame, model: KneserNey, column: str = "text", names: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in texts(batches, column):
-            lo, starts = grams(b.column(column))
+            sym, starts = symbols(b.column(column))
             n = np.diff(starts)
-            total = np.zeros(len(lo) + 1)
-            if tables.value is not None and len(lo):
-                at, which, _ = distinct(lo, starts)
-                np.cumsum(_log_p(tables.value, _before(lo, starts, HALF)[at], lo[at])[which], out=total[1:])
+            total = np.zeros(len(sym) + 1)
+            if tables.value is not None and len(sym):
+                at, which, _ = distinct(sym, starts)
+                np.cumsum(_log_p(tables.value, *grams(sym, starts, at))[which], out=total[1:])
             value = np.exp(-(total[starts[1:]] - total[starts[:-1]]) / np.maximum(n, 1))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(value, pa.float64(), mask=(n == 0) | (tables.value is None))], names=[*b.schema.names, *names])
 
@@ -222,10 +233,10 @@ def _score_sharded(docs: DataFrame, levels: list[tuple[DataFrame, DataFrame]], c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in texts(batches, column):
-            lo, starts = grams(b.column(column))
+            sym, starts = symbols(b.column(column))
             text = np.repeat(np.arange(b.num_rows), np.diff(starts))
-            at, _, n = distinct(lo, starts, text)
-            hi, lo, ids = _before(lo, starts, HALF)[at], lo[at], b.column(row).to_numpy()[text[at]]
+            at, _, n = distinct(sym, starts, text)
+            (hi, lo), ids = grams(sym, starts, at), b.column(row).to_numpy()[text[at]]
             for k in range(0, len(at), 100_000):
                 yield pa.RecordBatch.from_pydict({row: ids[k : k + 100_000], "hi": hi[k : k + 100_000], "lo": lo[k : k + 100_000], "n": n[k : k + 100_000]})
 
@@ -246,39 +257,54 @@ def _score_sharded(docs: DataFrame, levels: list[tuple[DataFrame, DataFrame]], c
     return out.select(*docs.columns, F.coalesce(names[0], F.lit(0)).cast("long").alias(names[0]), F.exp(-F.col("_sum") / F.col(names[0])).alias(names[1]))
 
 
-def thresholds(scored: DataFrame, lang: str = "lang", perplexity: str = "perplexity", quantile: float = QUANTILE, slack: float = SLACK, least: int = LEAST) -> DataFrame:
-    """(lang, threshold): one row for each language with enough rows, and one whose `every` is true, over all."""
+def size_class(symbols: str) -> Column:
+    """The power of two that a number of characters reaches."""
+    return F.floor(F.log2(F.greatest(F.col(symbols), F.lit(1)))).cast("int")
+
+
+#: Which texts a threshold is taken from, in order of preference: those of the language, and those of the size.
+POOLS = ((True, True), (False, True), (True, False), (False, False))
+
+
+def thresholds(scored: DataFrame, lang: str = "lang", symbols: str = "n_symbols", perplexity: str = "perplexity", quantile: float = QUANTILE, least: int = LEAST) -> DataFrame:
+    """(pool, lang, size, threshold): a row for each of POOLS (by place) and each language and size of it that has enough texts; the last always has."""
     step = F.floor(F.log(perplexity) / STEP).alias("step")
-    counts = cut(scored.filter(F.col(perplexity).isNotNull()).groupBy(F.col(lang).alias("lang"), step).agg(F.count(F.lit(1)).alias("n")))
-    both = counts.withColumn("every", F.lit(False)).unionByName(counts.groupBy("step").agg(F.sum("n").alias("n")).select(F.lit(None).cast(counts.schema["lang"].dataType).alias("lang"), "step", "n", F.lit(True).alias("every")))
-    up = Window.partitionBy("every", "lang").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    run = both.withColumns({"so_far": F.sum("n").over(up), "total": F.sum("n").over(Window.partitionBy("every", "lang"))})
-    at = run.filter((F.col("so_far") >= quantile * F.col("total")) & (F.col("every") | (F.col("total") >= least)))
-    return at.groupBy("every", "lang").agg((F.exp((F.min("step") + 1) * STEP) * (1 + slack)).alias("threshold"))
+    counts = cut(scored.filter(F.col(perplexity).isNotNull()).groupBy(F.col(lang).alias("lang"), size_class(symbols).alias("size"), step).agg(F.count(F.lit(1)).alias("n")))
+    pool = F.explode(F.array(*(F.struct(F.lit(k).alias("pool"), (F.col("lang") if by_lang else F.lit(None)).alias("lang"), (F.col("size") if by_size else F.lit(None)).cast("int").alias("size")) for k, (by_lang, by_size) in enumerate(POOLS))))
+    run = counts.select(pool.alias("p"), "step", "n").groupBy("p.pool", "p.lang", "p.size", "step").agg(F.sum("n").alias("n"))
+    group = ["pool", "lang", "size"]
+    up = Window.partitionBy(*group).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    run = run.withColumns({"so_far": F.sum("n").over(up), "total": F.sum("n").over(Window.partitionBy(*group))})
+    at = run.filter((F.col("so_far") >= quantile * F.col("total")) & ((F.col("pool") == len(POOLS) - 1) | (F.col("total") >= least)))
+    return at.groupBy(*group).agg(F.exp((F.min("step") + 1) * STEP).alias("threshold"))
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, column: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """docs with n_symbols, perplexity, threshold and kept; trusted_ids: one column `key` of the trusted rows."""
     ids = by_size(trusted_ids.select(key).filter(F.col(key).isNotNull()).distinct())
-    trusted = docs.join(ids, key, "left_semi")
-    model = train(trusted, column)
+    trusted = docs.join(ids, key, "left_semi").select(F.col(column).alias("text"), F.col(lang).alias("lang"))
+    model = train(trusted)
     names = [fresh(n, docs.columns) for n in ("n_symbols", "perplexity", "threshold", "kept")]
     # by text, so that copies are on one side
-    side = F.pmod(F.xxhash64(column), F.lit(2))
-    half = train(trusted.filter(side == 0), column)
-    held = trusted.filter(side == 1).select(column, lang)
-    limit = cut(thresholds(score(held, half, column), lang))
-    every = limit.filter("every").first()
-    if every is None:
-        limit = cut(thresholds(score(trusted.select(column, lang), model, column), lang))
-        every = limit.filter("every").first()
-    scored = score(docs, model, column, (names[0], names[1]))
-    own_lang, own_limit = (fresh(n, [*docs.columns, *names]) for n in ("own_lang", "own_limit"))
-    own = limit.filter("NOT every").select(F.col("lang").alias(own_lang), F.col("threshold").alias(own_limit))
-    out = scored.join(by_size(own, 10_000), F.col(lang).eqNullSafe(F.col(own_lang)), "left")
-    stray = F.exp(SPREAD / F.sqrt(F.greatest(F.col(names[0]), F.lit(1))))
-    out = out.withColumn(names[2], F.coalesce(own_limit, F.lit(every["threshold"] if every else None).cast("double")) * stray)
-    kept = (F.col(names[0]) > 0) & F.coalesce(F.col(names[1]) <= F.col(names[2]), F.lit(every is None))
+    side = F.pmod(F.xxhash64("text"), F.lit(2))
+    half = train(trusted.filter(side == 0))
+    limit = cut(thresholds(score(trusted.filter(side == 1), half)))
+    if limit.isEmpty():
+        limit = cut(thresholds(score(trusted, model)))
+    out = score(docs, model, column, (names[0], names[1]))
+    found = []
+    for k, (by_lang, by_length) in enumerate(POOLS):
+        of_lang, of_size, of = (fresh(f"{n}_{k}", [*docs.columns, *names]) for n in ("lang", "size", "limit"))
+        own = limit.filter(F.col("pool") == k).select(F.col("lang").alias(of_lang), F.col("size").alias(of_size), F.col("threshold").alias(of))
+        on = F.lit(True)
+        if by_lang:
+            on = on & F.col(lang).eqNullSafe(F.col(of_lang))
+        if by_length:
+            on = on & (size_class(names[0]) == F.col(of_size))
+        out = out.join(F.broadcast(own) if not by_lang or few(own, LANGUAGES) else own, on, "left")  # without languages: a row a size at most
+        found.append(F.col(of))
+    out = out.withColumn(names[2], F.coalesce(*found))
+    kept = (F.col(names[0]) > 0) & F.coalesce(F.col(names[1]) <= F.col(names[2]), F.lit(limit.isEmpty()))
     return out.withColumn(names[3], kept).select(*docs.columns, *names)
 
 

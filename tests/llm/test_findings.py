@@ -70,8 +70,8 @@ def test_quality_tables_grow_and_both_ways_of_scoring_agree(spark):
     rng = random.Random(33)
     words = ["der", "die", "Das", "haus", "Ελλάδα", "русский", "日本", "🙂", "é"]
     texts = [" ".join(rng.choices(words, k=rng.randint(1, 30))) for _ in range(40)]
-    model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    assert [p.count() for p, _ in model.levels] == [len({("\0" * 5 + t)[k + 6 - n : k + 6] for t in texts for k in range(len(t))}) for n in range(1, 7)]
+    model, order = quality.train(spark.createDataFrame([(t,) for t in texts], "text string")), quality.ORDER
+    assert [p.count() for p, _ in model.levels] == [len({("\0" * (order - 1) + t)[k + order - n : k + order] for t in texts for k in range(len(t))}) for n in range(1, order + 1)]
     rows = spark.createDataFrame([(t,) for t in [*texts, texts[0], "Ελλάδα αδάλλΕ", "中国 日本", "x", ""]] + [(None,)], "text string")
     key = lambda r: (r.text or "", r.n_symbols)
     near, far = (sorted(quality.score(rows, model, most=most).collect(), key=key) for most in (None, 0))

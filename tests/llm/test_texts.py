@@ -116,7 +116,7 @@ def test_kneser_ney_against_the_formulas(spark):
     texts = ["".join(rng.choices(["the ", "cat ", "Sat", ". ", "on", " a mat", "é", "1", "\n"], k=rng.randint(1, 60))) for _ in range(30)]
     trusted = spark.createDataFrame([(t,) for t in texts] + [("",), (None,)], "text string").repartition(3)
     model = quality.train(trusted)
-    symbols = lambda t: [int(x) % quality.SYMBOLS for x in quality.grams(pa.array([t]))[0]]
+    symbols = lambda t: quality.symbols(pa.array([t]))[0].tolist()
     want = kneser_ney([symbols(t) for t in texts], quality.SYMBOLS, quality.ORDER)
     other = ["the cat sat", "ZZZ!!", "é", "x", "日本🙂", ""]
     rows = spark.createDataFrame([(t,) for t in [*texts, *other]] + [(None,)], "text string")
@@ -142,8 +142,22 @@ def test_classify_keeps_clean_and_drops_junk(spark):
     assert {r.doc_id for r in quality.keep_good(df, trusted.limit(0)).collect()} == {*range(89), 502, None}
 
 
-def test_thresholds_of_each_language(spark):
-    rows = spark.createDataFrame([("a", float(k)) for k in range(1, 101)] + [("b", 5.0)] * 3 + [(None, 2.0)] * 30, "lang string, perplexity double")
-    got = {(r.every, r.lang): r.threshold for r in quality.thresholds(rows, quantile=0.9, slack=0.0, least=20).collect()}
-    assert set(got) == {(False, "a"), (False, None), (True, None)}
-    assert 90 <= got[False, "a"] < 90.2 and 2 <= got[False, None] < 2.01
+def test_thresholds_of_each_language_and_size(spark):
+    data = [("a", 9, float(k)) for k in range(1, 101)] + [("a", 70, 3.0)] * 5 + [("b", 9, 5.0)] * 3 + [(None, 15, 2.0)] * 30 + [("a", 9, None)]
+    rows = spark.createDataFrame(data, "lang string, n_symbols long, perplexity double")
+    got = {(r.pool, r.lang, r["size"]): r.threshold for r in quality.thresholds(rows, quantile=0.9, least=20).collect()}
+    assert set(got) == {(0, "a", 3), (0, None, 3), (1, None, 3), (2, "a", None), (2, None, None), (3, None, None)}
+    assert 90 <= got[0, "a", 3] < 90.2 and 2 <= got[0, None, 3] < 2.01 and 86 <= got[1, None, 3] < 90
+
+
+def test_many_symbols_and_few_agree():
+    rng = random.Random(19)
+    wide = "".join(chr(rng.choice([*range(0x4E00, 0x9000), 97, 98])) for _ in range(4000))
+    for texts in (["abcab", "", "xabc" * 9], [wide, "abab", wide[:50]]):
+        sym, starts = quality.symbols(pa.array(texts))
+        at, which, n = quality.distinct(sym, starts)
+        padded = ["\0" * (quality.ORDER - 1) + t for t in texts]
+        want = [p[k : k + quality.ORDER] for p in padded for k in range(len(p) - quality.ORDER + 1)]
+        assert len(at) == len(set(want)) and n.sum() == len(want) and [want[at[w]] for w in which] == want
+        hi, lo = quality.grams(sym, starts, at)
+        assert len(set(zip(hi.tolist(), lo.tolist(), strict=True))) == len(at)
