@@ -3,8 +3,9 @@
 encode() runs the tokenizers library, with a model made from a rank file, over the distinct pieces of each Arrow batch; decode()
 looks ids up in the table of token bytes. Ids travel as packed little-endian unsigned 32-bit integers, so a row costs four bytes
 a token. Defined cases: a null text is an empty text (no ids, empty bytes); a null or empty id column decodes to empty bytes; a
-token sequence that ends inside a character decodes to the bytes as they are, and in text the broken character is U+FFFD. Other
-columns pass unchanged; repeated rows are encoded one by one.
+token sequence that ends inside a character decodes to the bytes as they are, and in text the broken character is U+FFFD. A very
+long text is encoded whole; repeated rows are encoded one by one; an empty table stays empty; other columns pass unchanged, and
+new ones whose names are taken get an underscore in front.
 """
 
 from __future__ import annotations

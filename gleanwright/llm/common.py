@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,9 +27,11 @@ def ready(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the session names none (tests) is it a local one."""
+    """The folder that all executors share. Where the session names none it is a local one, if the executors are this process; else an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.gettempdir()}/gleanwright-{spark.sparkContext.applicationId}"
     return named.rstrip("/")
 
@@ -62,9 +65,14 @@ def forget(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-def sweep(spark: SparkSession) -> int:
-    """Delete all tables that cut() made in this process; call it when no result of an operator is needed any more."""
-    paths = list(_cuts)
+def tables_so_far() -> frozenset[str]:
+    """The tables that cut() has made and that are still there."""
+    return frozenset(_cuts)
+
+
+def sweep(spark: SparkSession, since: frozenset[str] = frozenset(), keep: tuple[DataFrame, ...] = ()) -> int:
+    """Delete the tables that cut() made in this process, but for those in `since` and `keep`; call it when no result that reads them is needed any more."""
+    paths = list(_cuts - since - {getattr(df, "_cut_path", None) for df in keep})
     for path in paths:
         _delete(spark, path)
     return len(paths)

@@ -10,7 +10,8 @@ in the same or the next cell with chance over 0.999 a line; only neighbouring ce
 Equal vectors of a label are one class. A block pair returns, for each vector, how many it is linked with, and a spanning forest
 of its links; so a group of thousands costs no list of all its pairs. Defined cases: rows with a null id or label, or a vector
 that is null, zero, or holds null or non-finite components, are linked with nothing; rows without an id have no component and
-are kept; vectors of different lengths are not compared; no rows give no rows.
+are kept; repeated rows are linked with one another; vectors of different lengths are not compared; other columns are not read,
+whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ready
+from .common import cut, forget, ready
 from .components import components
 from .topk import usable
 
@@ -145,6 +146,7 @@ def near_duplicates(vectors: DataFrame, bound: float = 0.98, id_col: str = "vec_
     two = blocks.select(*cell, F.col("blk").alias("blk2"), F.col("ids").alias("ids2"), F.col("mult").alias("mult2"), F.col("mat").alias("mat2"))
     met = one.join(two, cell).filter("NOT own OR blk <= blk2").withColumn("same", F.expr("own AND blk = blk2"))
     out = cut(met.select("dim", "same", "ids", "mult", "mat", "ids2", "mult2", "mat2").mapInArrow(_links(bound), "a long, b long, n long"))
+    forget(cells, blocks)
     counts = out.filter("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     comp = components(out.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "rep")
     told = classes.join(counts, "rep", "left").join(comp, "rep", "left").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

@@ -7,8 +7,9 @@ contain, and what no rule uses is UNKNOWN. Long and short forms of a licence end
 
 Sentences end at . ! or ? before white space, at ; or : before white space, and at blank lines; other line breaks are white
 space, so a sentence may be wrapped over lines. Only sentences that hold one of KEYS are looked at further; every form of every
-known phrase holds one. Defined cases: a null or empty text has no sentences and no licences; repeated rows are scanned one by
-one; other columns pass unchanged.
+known phrase holds one. Defined cases: a null or empty text has no sentences and no licences; a very long text is scanned whole;
+repeated rows are scanned one by one; an empty table stays empty; other columns pass unchanged, and new ones whose names are taken
+get an underscore in front.
 """
 
 from __future__ import annotations
