@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 the last return the columns of documents. Decisions: documents that the quality model rejects go; lines that repeat an earlier
 line go, and with them documents of which nothing is left; one document of each group of near duplicates stays; secrets are
 replaced by a mark; what is left is packed into sequences of 1024 tokens. Null, empty, repeated and very long texts are handled
-as each operator's module says; empty tables pass through.
+as each operator's module says; empty tables pass through. Line dedup comes before near duplicates, so of a near copy only the lines
+that it changed reach the latter; what is left of it is judged as it stands.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanwright.llm import line_dedup, minhash, packing, quality, secret_scan
-from gleanwright.llm.common import cut
+from gleanwright.llm.common import cut, sweep, tables_so_far
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +48,13 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The model, the hashes and the tokenizer cannot be told in SQL; tests hold each stage against a brute-force version.
+#: The model, the hashes and the tokenizer cannot be told in SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, had = spark.read.parquet(f"{sf_dir}/documents.parquet"), tables_so_far()
     for _, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir))
+        sweep(spark, had, (docs,))  # what the stage and the one before it wrote on the way
     return docs
