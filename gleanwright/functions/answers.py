@@ -64,6 +64,12 @@ def last_label(low: Column, labels: tuple[str, ...] = LABELS) -> Column:
     return best["l"]
 
 
+def first_label(low: Column, labels: tuple[str, ...] = LABELS) -> Column:
+    """The label that occurs first in a lower-case text, else null."""
+    at = [F.struct(F.when(F.locate(x, low) > 0, F.locate(x, low)).alias("p"), F.lit(x).alias("l")) for x in labels]
+    return F.array_min(F.filter(F.array(*at), lambda s: s["p"].isNotNull()))["l"]
+
+
 def prediction(c: Column | str, truncated: Column | str, labels: tuple[str, ...] = LABELS) -> Column:
     """The predicted label: the last `answer: N`, the last number that ends or opens the final part, a disease field, a label in the
     final part, the last label anywhere; else incomplete or unknown."""

@@ -78,16 +78,17 @@ def stratified_split(rows: DataFrame, strata: list[str], key: str, train: float
     return r.withColumn("split", F.when(F.col("_i") <= a, "train").when(F.col("_i") <= a + b, "validation").otherwise("test")).drop("_i", "_n")
 
 
-def holdout(rows: DataFrame, key: str, share: float = 0.1, seed: int = 42, least: int = 0) -> DataFrame:
-    """rows with `split`: the `share` of rows with the highest hashes, at least `least`, is validation.
+def holdout(rows: DataFrame, key: str, share: float = 0.1, seed: int = 42, least: int = 0, front: bool = False) -> DataFrame:
+    """rows with `split`: the `share` of rows with the highest hashes (front: the lowest), at least `least`, is validation.
     The cut is found by counting hash prefixes, so no task sorts all rows."""
     h = rows.withColumn("_h", hash_order(key, seed)).withColumn("_p", F.substring("_h", 1, 4))
     prefix = h.groupBy("_p").agg(F.count(F.lit(1)).alias("c"))  # 65,536 rows at most
     up = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     prefix = prefix.withColumns({"_before": F.coalesce(F.sum("c").over(up), F.lit(0)), "_all": F.sum("c").over(Window.partitionBy())}).drop("c")
-    keep = F.col("_all") - F.greatest(F.floor(F.col("_all") * share), F.lit(least))
+    held = F.greatest(F.floor(F.col("_all") * share), F.lit(least))
+    keep, low, high = (held, "validation", "train") if front else (F.col("_all") - held, "train", "validation")
     ranked = h.join(F.broadcast(prefix), "_p").withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy("_h", key)))
-    return ranked.withColumn("split", F.when(F.col("_i") <= keep, "train").otherwise("validation")).drop("_h", "_p", "_before", "_all", "_i")
+    return ranked.withColumn("split", F.when(F.col("_i") <= keep, low).otherwise(high)).drop("_h", "_p", "_before", "_all", "_i")
 
 
 def balanced_sample(rows: DataFrame, cls: str, key: str, most: int, seed: int = 42) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Exact dense retrieval: cosine of every query with every vector, and the best of each query."""
+"""Exact dense retrieval: the vectors with the highest cosine for each query, by matrix products of blocks.
+
+Vectors and queries become blocks of bounded bytes, vectors are dealt over slots, and each block of queries meets each block of
+vectors of its length once; only a block's best of each query leave it. Vectors (and queries) that are null or hold null or
+non-finite components take no part; vectors of different lengths have no score with each other; a zero vector scores 0.
+"""
 
 from __future__ import annotations
 
@@ -6,70 +11,68 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vectors import dot, normalized
-from ..session import by_size, ready
+from ..functions.vectors import finite
+from ..session import ready, written
 from .lexical import top
 
-#: With no more queries than this (counted), they are one matrix beside each batch of vectors.
-MATRIX_ROWS = 10_000
-
-
-def cosine_scores(vectors: DataFrame, queries: DataFrame, key: str, query_key: str = "query_id", vector: str = "vector") -> DataFrame:
-    """(query_key, key, score) for each pair of a stated query and a vector; queries are broadcast only if counted to be few."""
-    v = vectors.select(key, normalized(vector).alias("v"))
-    q = queries.select(query_key, normalized(vector).alias("q"))
-    return v.join(by_size(q, MATRIX_ROWS)).select(query_key, key, F.round(dot("v", "q"), 6).alias("score"))
+#: Bytes of a block of vectors, and queries in a block.
+BLOCK_BYTES, QUERY_BLOCK = 1 << 21, 512
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
 
 
-def _matrix_top(vectors: DataFrame, queries: DataFrame, key: str, k: int, query_key: str, vector: str, others: bool) -> DataFrame:
-    """The k best of each query within each batch of vectors, by one matrix product a batch."""
-    ready(vectors.sparkSession)
-    table = queries.select(query_key, F.transform(vector, lambda x: x.cast("double")).alias("v")).toArrow()
-    ids, rows = table.column(0).to_pylist(), table.column(1).to_pylist()
-    dim = max(map(len, rows), default=0)
-    use = [i for i, r in enumerate(rows) if len(r) == dim]
-    q, ids = _unit(np.array([rows[i] for i in use], float).reshape(len(use), dim)), [ids[i] for i in use]
-    own = np.array(ids)
-    block = max(1, 4_000_000 // max(1, len(ids)))
+def _blocks(df: DataFrame, key: str, vector: str, most: int | None = None) -> DataFrame:
+    """(dim, keys, mat): unit vectors in blocks of one length, of at most BLOCK_BYTES bytes and `most` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            whole = whole.filter(pa.compute.equal(pa.compute.list_value_length(whole.column(1)), dim))
-            for lo in range(0, whole.num_rows, block):
-                b = whole.slice(lo, block)
-                keys = b.column(0).to_numpy(zero_copy_only=False)
-                v = _unit(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-                s = np.round(q @ v.T, 6)
+        for b in batches:
+            sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            for dim in np.unique(sizes[sizes > 0]).tolist():
+                part = b.filter(pa.array(sizes == dim))
+                rows = max(1, min(BLOCK_BYTES // (8 * dim), most or part.num_rows))
+                for lo in range(0, part.num_rows, rows):
+                    some = part.slice(lo, rows)
+                    mat = _unit(some.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+                    keys = pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), some.column(0))
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), keys, pa.array([mat.astype("<f8").tobytes()], pa.binary())], names=["dim", "keys", "mat"])
+
+    schema = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("keys", T.ArrayType(df.schema[key].dataType)), T.StructField("mat", T.BinaryType())])
+    return df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & finite(vector)).select(key, F.transform(vector, lambda x: x.cast("double"))).mapInArrow(run, schema)
+
+
+def _best(k: int, names: list[str], others: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                dim, asked, keys = b.column("dim")[i].as_py(), b.column("asked")[i].values, b.column("keys")[i].values
+                q, v = (np.frombuffer(b.column(c)[i].as_py(), "<f8").reshape(-1, dim) for c in ("ask", "mat"))
+                s, names_of = np.round(q @ v.T, 6), np.array(keys.to_pylist())
                 if others:
-                    s[own[:, None] == keys[None, :]] = -np.inf
-                n = min(k, s.shape[1])
-                low = np.partition(s, -n, axis=1)[:, -n]
+                    s[np.array(asked.to_pylist())[:, None] == names_of[None, :]] = -np.inf
+                low = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
                 r, c = np.nonzero((s >= low[:, None]) & (s > -np.inf))
-                order = np.lexsort((keys[c], -s[r, c], r))
+                order = np.lexsort((names_of[c], -s[r, c], r))
                 r, c = r[order], c[order]
                 first = np.arange(len(r)) - np.searchsorted(r, r) < k
                 r, c = r[first], c[first]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in r.tolist()], query_type), b.column(0).take(pa.array(c)), pa.array(s[r, c])], names=[query_key, key, "score"])
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(r)), keys.take(pa.array(c)), pa.array(s[r, c])], names=names)
 
-    query_type = table.schema.field(0).type
-    schema = T.StructType([T.StructField(query_key, queries.schema[query_key].dataType), T.StructField(key, vectors.schema[key].dataType), T.StructField("score", T.DoubleType())])
-    return vectors.select(key, F.transform(vector, lambda x: x.cast("double")).alias("v")).mapInArrow(run, schema)
+    return run
 
 
 def vector_top(vectors: DataFrame, queries: DataFrame, key: str, k: int, query_key: str = "query_id", vector: str = "vector", others: bool = False) -> DataFrame:
     """The k vectors with the highest cosine (six decimals, ties by smaller key) for each query; others=True leaves out a query's own key."""
-    if queries.limit(MATRIX_ROWS + 1).count() <= MATRIX_ROWS:
-        scores = _matrix_top(vectors, queries, key, k, query_key, vector, others)
-    else:
-        scores = cosine_scores(vectors, queries, key, query_key, vector)
-        scores = scores.filter(F.col(query_key) != F.col(key)) if others else scores
-    return top(scores, query_key, "score", key, k)
+    spark = vectors.sparkSession
+    ready(spark)
+    slots = spark.sparkContext.defaultParallelism * 4
+    rows = written(_blocks(vectors, key, vector).withColumn("slot", F.pmod(F.xxhash64("mat"), F.lit(slots)).cast("int")))
+    asked = _blocks(queries, query_key, vector, QUERY_BLOCK).select("dim", F.col("keys").alias("asked"), F.col("mat").alias("ask"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    grid = asked.join(rows, ["dim", "slot"]).select("dim", "asked", "ask", "keys", "mat")
+    schema = T.StructType([T.StructField(query_key, queries.schema[query_key].dataType), T.StructField(key, vectors.schema[key].dataType), T.StructField("score", T.DoubleType())])
+    return top(grid.mapInArrow(_best(k, schema.names, others), schema), query_key, "score", key, k)

@@ -113,14 +113,14 @@ def repair_labels(spark: SparkSession, sf: str) -> DataFrame:
     return curation.repair(rows, fixes, "p_partkey", "label", F.col("label") == "Unknown")
 
 
-@query("unmapped_anti", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("unmapped_anti", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 47)")
 def unmapped_anti(spark: SparkSession, sf: str) -> DataFrame:
-    return t.load(spark, sf, "part").select("p_partkey").join(t.load(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
+    return t.load(spark, sf, "part").select("p_partkey").join(t.load(spark, sf, "lineitem").filter("l_quantity > 47").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
 
 
-@query("except_files", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+@query("except_files", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal < 2000")
 def except_files(spark: SparkSession, sf: str) -> DataFrame:
-    return t.load(spark, sf, "nation").select(F.col("n_nationkey").alias("k")).subtract(t.load(spark, sf, "supplier").select("s_nationkey"))
+    return t.load(spark, sf, "nation").select(F.col("n_nationkey").alias("k")).subtract(t.load(spark, sf, "supplier").filter("s_acctbal < 2000").select("s_nationkey"))
 
 
 @query("intersect_names", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")

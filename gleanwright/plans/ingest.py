@@ -120,9 +120,9 @@ def changed_sources(spark: SparkSession, sf: str) -> DataFrame:
     return manifest.changes(snap(d.filter(F.col("doc_id") % 2 == 0)), snap(d), ["domain", "name"], ["n", "size"])
 
 
-@query("resume_anti", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("resume_anti", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 44)")
 def resume_anti(spark: SparkSession, sf: str) -> DataFrame:
-    done = t.load(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    done = t.load(spark, sf, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 44").select(F.col("l_partkey").alias("p_partkey"))
     return resume.pending(t.load(spark, sf, "part").select("p_partkey"), done, "p_partkey")
 
 

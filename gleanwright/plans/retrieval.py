@@ -184,9 +184,18 @@ def norm_range(spark: SparkSession, sf: str) -> DataFrame:
     return n.agg(F.round(F.min("norm"), 6).alias("low"), F.round(F.max("norm"), 6).alias("high"))
 
 
-@query("nonfinite_vectors", "SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0")
+BROKEN = {3: "CAST('NaN' AS DOUBLE)", 5: "CAST('Infinity' AS DOUBLE)", 7: "CAST(NULL AS DOUBLE)"}
+
+
+@query(
+    "nonfinite_vectors",
+    f"""SELECT vec_id FROM (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x < 0.05 THEN x {" ".join(f"WHEN vec_id % 11 = {k} THEN {v}" for k, v in BROKEN.items())} ELSE x END) AS e FROM embeddings)
+WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) > 0""",
+)
 def nonfinite_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return t.vectors(spark, sf).filter(~vectors.finite("vector")).select("vec_id")
+    """embeddings whose larger components are broken in some rows."""
+    broken = F.expr(f"transform(vector, x -> CASE WHEN x < 0.05 THEN x {' '.join(f'WHEN vec_id % 11 = {k} THEN {v}' for k, v in BROKEN.items())} ELSE x END)")
+    return t.vectors(spark, sf).withColumn("vector", broken).filter(~vectors.finite("vector")).select("vec_id")
 
 
 @query(

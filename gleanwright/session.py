@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +38,31 @@ def ready(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share. Where the session names none it is a local one, if the executors are this process; else an error."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.gettempdir()}/gleanwright-{spark.sparkContext.applicationId}"
+    return named.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: what several steps read is computed once, and a lost executor repeats nothing before it."""
+    spark = df.sparkSession
+    ready(spark)
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of input, by the optimiser's estimate, for each core, under which rows are dealt out.
+SMALL_INPUT = 16 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if its input has few splits (a small file is often one row group); larger inputs stay where they are."""
+    """df over all cores if its input is small (a small file is often one row group); larger inputs stay where they are. Nothing is run."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= cores * SMALL_INPUT else df

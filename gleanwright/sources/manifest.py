@@ -50,6 +50,13 @@ def changed_domains(before: DataFrame | None, now: DataFrame) -> list[str]:
     return sorted(r.domain for r in rows.distinct().collect())
 
 
+def plan(before: DataFrame | None, now: DataFrame, force: bool = False, check_only: bool = False) -> dict[str, str]:
+    """What to do with each domain: "rebuild" if it changed (or all, with force), "stale" instead if only asked (check_only), else "keep"."""
+    domains = sorted(r.domain for r in now.select("domain").distinct().collect())
+    changed = set(domains if force else changed_domains(before, now))
+    return {d: ("stale" if check_only else "rebuild") if d in changed else "keep" for d in sorted({*domains, *changed})}
+
+
 def save(df: DataFrame, path: str | Path) -> None:
     """Write a manifest beside its place and rename it: readers see the old or the new one. Call it after a build succeeded."""
     sources: dict[str, dict] = {}

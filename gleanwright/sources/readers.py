@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import blank_to_null
+from ..session import by_size
 
 KNOWN = ("knowledge_id", "source", "source_type", "crop", "disease", "evidence_type", "content", "title", "recommendation_preference", "organic_eligible", "ipm_eligible")
 RESULTS = "image string, ground_truth string, prediction string, confidence string, truncated boolean, correct boolean, inference_time double, response string"
@@ -34,6 +35,36 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("path", F.posexplode(F.split("value", "\n")).alias("n", "line")).select("path", (F.col("n") + 1).alias("line_number"), "line").filter(F.trim("line") != "")
 
 
+def external_records(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Numbered JSON lines as records: source "Unknown" and type "json" where a line names none; the line number stays."""
+    get = lambda k: blank_to_null(F.element_at(F.from_json(line, "map<string,string>"), k))
+    fields = [get(k).alias(k) for k in ("title", "crop", "disease", "content")]
+    return lines.select(*(c for c in lines.columns if c != line), F.coalesce(get("source"), F.lit("Unknown")).alias("source"), F.coalesce(get("source_type"), F.lit("json")).alias("source_type"), *fields)
+
+
+def source_pages(sources: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
+    """The loaded pages of the registry's enabled sources, with their source."""
+    return pages.join(by_size(sources.select("source_id", "grp", "name", "authority", F.col("url").alias(url))), url)
+
+
+def fetched(sources: DataFrame, fetch, url: str = "url") -> DataFrame:
+    """sources with `html`; fetch(url) -> text or None is the caller's, and a page that fails has its error in `error` and no html."""
+
+    def run(frames):
+        for p in frames:
+            got, failed = [], []
+            for u in p[url]:
+                try:
+                    got.append(fetch(u))
+                    failed.append(None)
+                except Exception as e:  # one page must not end the load
+                    got.append(None)
+                    failed.append(f"{type(e).__name__}: {e}")
+            yield p.assign(html=got, error=failed)
+
+    return sources.mapInPandas(run, T.StructType([*sources.schema.fields, T.StructField("html", T.StringType()), T.StructField("error", T.StringType())]))
+
+
 def diagnosis_records(df: DataFrame, default_source: str = "dataset") -> DataFrame:
     """Label metadata as diagnosis records: content from the fields that are there."""
     say = lambda label, c: F.when(blank_to_null(c).isNotNull(), F.concat(F.lit(f"{label}: "), F.col(c)))
@@ -63,11 +94,11 @@ def all_records(*parts: DataFrame) -> DataFrame:
 
 
 def image_paths(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:
-    """(path, folder, name) of the image files below root; contents are not read."""
+    """(path, folder, name) of the image files below root, by path; contents are not read."""
     pattern = "*.{" + ",".join([*extensions, *(e.upper() for e in extensions)]) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path")
     parts = F.split("path", "/")
-    return files.select("path", F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("name"))
+    return files.select("path", F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("name")).orderBy("path")
 
 
 def pdf_pages(spark: SparkSession, path: str, page_texts) -> DataFrame:

@@ -38,11 +38,14 @@ def bm25_index(postings: DataFrame, frequency: DataFrame, stats: DataFrame, path
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def vector_index(df: DataFrame, path: str, vector: str = "vector") -> None:
-    """Records with their vectors; an empty index is refused."""
+def vector_index(df: DataFrame, path: str, vector: str = "vector", meta: dict[str, str] | None = None) -> None:
+    """Records with their vectors, and if `meta` is given one row under `path`.meta: it, the number of rows and the vectors' length. An empty index is refused."""
     if df.isEmpty():
         raise ValueError("an empty index is not saved")
     df.write.mode("overwrite").parquet(path)
+    if meta is not None:
+        told = df.sparkSession.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"), F.max(F.size(vector)).alias("dim"))
+        told.withColumns({k: F.lit(v) for k, v in meta.items()}).write.mode("overwrite").parquet(f"{path}.meta")
 
 
 def _fs(spark: SparkSession, path: str):

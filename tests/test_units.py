@@ -113,17 +113,26 @@ def test_vectors_rank_by_cosine(spark):
 
 
 @pytest.mark.parametrize("others", [False, True])
-def test_matrix_and_column_paths_agree(spark, monkeypatch, others):
+@pytest.mark.parametrize("size", [1 << 21, 64])
+def test_nearest_vectors_with_odd_ones(spark, monkeypatch, others, size):
     import numpy as np
 
+    monkeypatch.setattr(dense, "BLOCK_BYTES", size)
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 3)
     x = np.random.default_rng(1).integers(-2, 3, (60, 3)).astype(float).tolist()
-    v = spark.createDataFrame([(i, r) for i, r in enumerate(x)], "k long, vector array<double>").repartition(4)
-    q = v.filter("k % 7 = 0").withColumnRenamed("k", "query_id")
-    got = [sorted(map(tuple, dense.vector_top(v, q, "k", 5, others=others).collect()))]
-    monkeypatch.setattr(dense, "MATRIX_ROWS", 3)
-    got.append(sorted(map(tuple, dense.vector_top(v, q, "k", 5, others=others).collect())))
-    assert got[0] == got[1] and len(got[0]) == 45
-    assert dense.vector_top(v, q.limit(0), "k", 5).count() == 0
+    x += [[float("nan")] * 3] * 25 + [None, [1.0, None, 2.0], [float("inf"), 0.0, 1.0], [], [1.0, 2.0], [2.0, 1.0]]
+    rows = list(enumerate(x))
+    v = spark.createDataFrame(rows, "k long, vector array<double>").repartition(4)
+    q = v.filter("k % 7 = 0 OR k > 80").withColumnRenamed("k", "query_id")
+    got = {tuple(r) for r in dense.vector_top(v, q, "k", 5, others=others).select("query_id", "k", "score", "rank").collect()}
+    ok = {k: np.array(r) / max(np.linalg.norm(r), 1e-12) for k, r in rows if r and None not in r and np.isfinite(np.array(r, float)).all()}
+    want = set()
+    for a in ok:
+        if a % 7 == 0 or a > 80:
+            near = sorted((-np.round(ok[a] @ ok[b], 6), b) for b in ok if len(ok[b]) == len(ok[a]) and not (others and a == b))[:5]
+            want |= {(a, b, -s + 0.0, i) for i, (s, b) in enumerate(near, 1)}
+    assert {(a, b, round(s + 0.0, 6), i) for a, b, s, i in got} == {(a, b, round(s, 6), i) for a, b, s, i in want}
+    assert dense.vector_top(v.limit(0), q, "k", 5).count() == dense.vector_top(v, q.limit(0), "k", 5).count() == 0
 
 
 def test_label_normalisation_golden(spark):
