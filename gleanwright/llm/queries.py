@@ -8,7 +8,7 @@ import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, embed_dedup, licenses, line_dedup, minhash, packing, quality, secret_scan, token_counts, topk
+from . import bpe_codec, embed_dedup, licenses, line_dedup, merkle, minhash, packing, quality, secret_scan, token_counts, topk
 from .oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,14 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.filter("vec_id % 50 = 0"), vectors, k=5)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    n_chars = F.col("n_chars").cast("decimal(38,0)")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    out = merkle.manifest(table(spark, sf_dir, "documents"), columns, group="lang", key="doc_id", changed={"n_chars": F.when(tampered, n_chars + 1).otherwise(n_chars)})
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", F.col("again").alias("folded_root"), (F.col("again") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_secret_scan": op2_secret_scan,
@@ -83,4 +91,5 @@ QUERIES: dict[str, Query] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_exact_topk": op10_exact_topk,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
