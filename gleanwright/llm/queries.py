@@ -8,7 +8,7 @@ import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, embed_dedup, licenses, line_dedup, merkle, minhash, packing, quality, secret_scan, token_counts, topk
+from . import bpe_codec, embed_dedup, licenses, line_dedup, merkle, minhash, packing, quality, secret_scan, token_counts, topk, whitening
 from .oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,11 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.filter("vec_id % 50 = 0"), vectors, k=5)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), components=8, scale=1024, shift=100_000)
+    return out.select("vec_id", "component", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "whitened", "explained", "identity_error", F.col("deviation").alias("deviation_exact"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
     n_chars = F.col("n_chars").cast("decimal(38,0)")
@@ -91,5 +96,6 @@ QUERIES: dict[str, Query] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_exact_topk": op10_exact_topk,
+    "op12_whitening": op12_whitening,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
