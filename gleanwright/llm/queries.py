@@ -8,7 +8,7 @@ import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, embed_dedup, licenses, line_dedup, merkle, minhash, packing, quality, secret_scan, token_counts, topk, whitening
+from . import bpe_codec, embed_dedup, licenses, line_dedup, merkle, minhash, packing, pii, quality, secret_scan, token_counts, topk, whitening
 from .oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,15 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.filter("vec_id % 50 = 0"), vectors, k=5)
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = lambda *kinds: F.size(F.filter("spans", lambda x: x["kind"].isin(*kinds))).cast("long")
+    return out.select(
+        "doc_id", *(n(k).alias(f"n_{k}") for k in pii.BASE), F.sha2(pii.joined("spans", base_only=True).cast("binary"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"),
+        n(*pii.LEARNED).alias("n_learned"),
+    )
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = whitening.whiten(table(spark, sf_dir, "embeddings"), components=8, scale=1024, shift=100_000)
     return out.select("vec_id", "component", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "whitened", "explained", "identity_error", F.col("deviation").alias("deviation_exact"))
@@ -96,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_exact_topk": op10_exact_topk,
+    "op11_personal_data": op11_personal_data,
     "op12_whitening": op12_whitening,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
