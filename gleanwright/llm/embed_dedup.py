@@ -7,7 +7,7 @@ every query's windows are counted per pair, and pairs that reach the count are v
 that keeps a pair at the bound with chance RECALL. The first LEADS lines also cut space into cells, wide enough that a partner is
 in the same or the next cell with chance over 0.999 a line; only neighbouring cells of one label meet, in blocks of bounded size.
 
-Equal vectors of a label are one class. A block pair returns, for each vector, how many it is linked with, and a spanning forest
+Vectors are first multiplied by powers of two, so very large and very small entries do no harm. Equal vectors of a label are one class. A block pair returns, for each vector, how many it is linked with, and a spanning forest
 of its links; so a group of thousands costs no list of all its pairs. Defined cases: rows with a null id or label, or a vector
 that is null, zero, or holds null or non-finite components, are linked with nothing; rows without an id have no component and
 are kept; repeated rows are linked with one another; vectors of different lengths are not compared; other columns are not read,
@@ -48,6 +48,11 @@ def lines(dim: int) -> np.ndarray:
     return np.random.default_rng(20230517).standard_normal((dim, PROJECTIONS))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that the largest entry is about one: squares neither overflow nor vanish, and cosines stay as they are."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 def _project(spread: float):
     """Adds the cells of each vector on the leading lines."""
 
@@ -56,7 +61,7 @@ def _project(spread: float):
             n = b.column("v").value_lengths().to_numpy(zero_copy_only=False)
             for dim in np.unique(n):
                 part = b.filter(pa.array(n == dim))
-                x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                x = scaled(part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
                 p = (x / np.sqrt((x * x).sum(1, keepdims=True))) @ lines(int(dim))[:, :LEADS]
                 cells = np.floor(p / (3.5 * spread)).astype("i4")
                 cols = {c: part.column(c) for c in part.schema.names} | {f"c{k}": pa.array(cells[:, k]) for k in range(LEADS)}
@@ -70,6 +75,7 @@ def _links(bound: float):
 
     def found(a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the linked pairs of two blocks."""
+        a, b = scaled(a), scaled(b)
         na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
         pa_, pb = (a / na[:, None]) @ lines(a.shape[1]), (b / nb[:, None]) @ lines(a.shape[1])
         count = np.zeros((len(a), len(b)), np.int16)

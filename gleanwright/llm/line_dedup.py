@@ -1,9 +1,10 @@
 """Removal of lines that repeat an earlier line, exactly or within one edit, by a deletion-neighbourhood join.
 
 A line is compared without outer spaces; blank lines, and lines under min_chars characters (0 if not given), are left alone. The
-earliest place of a line, by doc_id and line number, stays; every other place goes. A line also goes if some earlier line is one
-edit away (one character inserted, deleted or replaced), whether or not that line itself stays. One edit is the contract; with
-edits=0 only exact repeats go.
+earliest place of a line, by doc_id and line number, stays; every other place goes. Rows that share a doc_id but not their text
+have places of their own, by a hash of the text after the line number. A line also goes if some earlier line is one edit away
+(one character inserted, deleted or replaced), whether or not that line itself stays. One edit is the contract; with edits=0 only
+exact repeats go.
 
 Two lines are one edit apart if and only if they agree outside a window of one character of the longer one. So a line of n
 characters emits, as hashed keys, what is left of it without each window, for itself as the longer line (length n) and as the
@@ -21,6 +22,7 @@ an empty table stays empty; other columns pass unchanged, and n_removed gets an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -83,12 +85,13 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """Each line that takes part: its document, number, place in the order of all lines, trimmed text, and two hashes of that."""
     out = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "fp", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     out = out.withColumn("line", F.trim("line")).filter(F.length("line") >= max(1, min_chars))
-    place = (F.col("doc_id").cast("decimal(38,0)") * 2147483648 + F.col("pos")).cast("decimal(38,0)")
+    tie = F.shiftrightunsigned("fp", 32)
+    place = (F.col("doc_id").cast("decimal(38,0)") * F.lit(Decimal(1 << 63)) + (F.col("pos").cast("long") * F.lit(1 << 32) + tie)).cast("decimal(38,0)")
     return out.select("doc_id", "fp", "pos", "line", place.alias("place"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def _edited(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
-    """Places of distinct lines that have an earlier line one edit away."""
+    """Hashes (h1, h2) of distinct lines that have an earlier line one edit away."""
     # lines that share a half, then all but an eighth, then all but a character
     keyed = distinct.select("h1", F.explode(F.array(*(f"k{k}" for k in range(4)))).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
@@ -104,7 +107,7 @@ def _edited(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
     shared = keyed.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last").select("key", "first")
     pairs = keyed.join(shared, "key").filter("first < place").select("place", "first").distinct()
     pairs = pairs.join(close, "place").join(close.select(F.col("place").alias("first"), F.col("line").alias("other")), "first")
-    edited = cut(pairs.filter(F.levenshtein("line", "other", 1) >= 0).select("place").distinct())
+    edited = cut(pairs.filter(F.levenshtein("line", "other", 1) >= 0).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).distinct())
     forget(close, keyed)
     return edited
 
@@ -122,7 +125,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 0, edits: int = 1) -> DataF
     again = lines.join(by_size(first), ["h1", "h2"]).filter("place <> first").select("doc_id", "fp", "pos")
     if edits:
         edited = _edited(docs, distinct, min_chars)
-        again = again.unionByName(lines.join(by_size(edited), "place", "left_semi").select("doc_id", "fp", "pos"))
+        again = again.unionByName(lines.join(by_size(edited), ["h1", "h2"], "left_semi").select("doc_id", "fp", "pos"))  # wherever the line stands
     out = cut(again.distinct())
     forget(lines, distinct, first, *([edited] if edits else []))
     return out
@@ -130,15 +133,18 @@ def repeated_lines(docs: DataFrame, min_chars: int = 0, edits: int = 1) -> DataF
 
 def remove_repeated_lines(docs: DataFrame, removed: str = "n_removed", min_chars: int = 0, edits: int = 1) -> DataFrame:
     """docs with their repeated lines taken out of `text`, and the number of lines taken from each."""
-    fp, at, at_id, at_fp, removed = (fresh(x, docs.columns) for x in ("fp", "at", "at_id", "at_fp", removed))
+    fp, at, at_id, at_fp, lines, removed = (fresh(x, docs.columns) for x in ("fp", "at", "at_id", "at_fp", "lines", removed))
     marked = docs.withColumn(fp, F.xxhash64("text"))
     gone = repeated_lines(marked.select("doc_id", F.col(fp).alias("fp"), "text"), min_chars, edits)
     small = few(gone)
     gone = gone.groupBy(F.col("doc_id").alias(at_id), F.col("fp").alias(at_fp)).agg(F.collect_set("pos").alias(at))
-    out = marked.join(F.broadcast(gone) if small else gone, (F.col("doc_id") == F.col(at_id)) & (F.col(fp) == F.col(at_fp)), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(at), i)), "\n")
+    # texts pass the join as lines, so that each line is then taken by its number in constant time
+    split = marked.withColumn(lines, F.split("text", "\n")).drop("text")
+    out = split.join(F.broadcast(gone) if small else gone, (F.col("doc_id") == F.col(at_id)) & (F.col(fp) == F.col(at_fp)), "left")
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), at), lambda i: F.get(lines, i))
+    text = F.array_join(F.when(F.col(at).isNull(), F.col(lines)).otherwise(stay), "\n")
     n = F.when(F.col(at).isNull(), F.lit(0)).otherwise(F.size(at)).cast("long")
-    return out.withColumns({"text": F.when(F.col(at).isNull(), F.col("text")).otherwise(kept), removed: n}).select(*docs.columns, removed)
+    return out.withColumns({"text": text, removed: n}).select(*docs.columns, removed)
 
 
 def clean(docs: DataFrame, min_chars: int = 0, edits: int = 1) -> DataFrame:

@@ -57,4 +57,21 @@ TOP = f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(25
 s AS (SELECT x.vec_id AS query_id, y.vec_id, list_dot_product(x.e, y.e)::BIGINT AS score FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE x.vec_id % 50 = 0)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
 
-ORACLES = {"op1_license_scan": _licence_sql(), "op5_line_dedup": LINES, "op8_minhash_dedup": NEAR, "op9_embedding_dedup": VECTORS, "op10_exact_topk": TOP}
+#: The tampered rows' CRC-32 is a fold over digits and bits; levels of a tree, and the way of each leaf up, are recursions.
+MERKLE = """WITH RECURSIVE d AS (SELECT doc_id, lang, n_chars, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS head,
+  CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS tail,
+  list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))) AS crc FROM documents),
+e AS (SELECT *, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf, CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) END AS other FROM d),
+l AS (SELECT doc_id, lang, leaf, coalesce(other, leaf) AS other, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS m, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS grp FROM e),
+low AS (SELECT grp, 0 AS k, idx, m, leaf AS h FROM l UNION ALL SELECT grp, any_value(k) + 1, idx // 2, any_value((m + 1) // 2), sha256(string_agg(h, '' ORDER BY idx)) FROM low WHERE m > 1 GROUP BY grp, idx // 2),
+roots AS (SELECT grp, h FROM low WHERE m = 1), g AS (SELECT count(*) AS m FROM roots),
+top AS (SELECT 0 AS k, grp AS idx, g.m, h FROM roots, g UNION ALL SELECT any_value(k) + 1, idx // 2, any_value((m + 1) // 2), sha256(string_agg(h, '' ORDER BY idx)) FROM top WHERE m > 1 GROUP BY idx // 2),
+up AS (SELECT grp, idx, 0 AS part, k, h FROM low UNION ALL SELECT NULL, idx, 1, k, h FROM top),
+climb AS (SELECT doc_id, grp, idx AS start, idx AS at, 0 AS part, 0 AS k, m, other AS own, leaf, '' AS proof FROM l
+  UNION ALL SELECT c.doc_id, c.grp, c.start, CASE WHEN c.m = 1 THEN c.grp ELSE c.at // 2 END, CASE WHEN c.m = 1 THEN 1 ELSE c.part END, CASE WHEN c.m = 1 THEN 0 ELSE c.k + 1 END, CASE WHEN c.m = 1 THEN g.m ELSE (c.m + 1) // 2 END,
+    CASE WHEN c.m = 1 THEN c.own ELSE sha256(CASE WHEN c.at % 2 = 1 THEN s.h || c.own ELSE c.own || coalesce(s.h, '') END) END, c.leaf, c.proof || CASE WHEN c.m = 1 THEN '' ELSE coalesce(s.h, '') END
+    FROM climb c CROSS JOIN g LEFT JOIN up s ON s.part = c.part AND (s.grp = c.grp OR c.part = 1) AND s.k = c.k AND s.idx = xor(c.at, 1) WHERE c.m > 1 OR c.part = 0),
+root AS (SELECT h FROM top WHERE m = 1)
+SELECT c.doc_id, c.leaf, r.h AS subroot, root.h AS root, sha256(c.proof) AS proof_sha256, c.own AS folded_root, c.own = root.h AS verified FROM climb c JOIN roots r ON r.grp = c.grp CROSS JOIN root WHERE c.part = 1 AND c.m = 1"""
+
+ORACLES = {"op1_license_scan": _licence_sql(), "op5_line_dedup": LINES, "op8_minhash_dedup": NEAR, "op9_embedding_dedup": VECTORS, "op10_exact_topk": TOP, "op13_merkle_manifest": MERKLE}

@@ -6,7 +6,7 @@ Summed over all blocks these histograms tell which bin holds the k-th highest sc
 one value wide. A last pass keeps what reaches that value, at most k of a block, ties by smaller id. So what is shuffled grows
 with queries times blocks, and no group holds more than k rows of a block.
 
-Vectors become integers, floor(scale * x), and scores are exact. Defined cases: vectors (or ids) that are null or hold null or
+Vectors become integers, floor(scale * x), and scores are exact, whatever their size; one beyond a long is the nearest long. Defined cases: vectors (or ids) that are null or hold null or
 non-finite components take no part; vectors of different lengths have no score with each other; of rows that share a query's id
 the smallest vector is the query, and none of them is its candidate; repeated candidate rows count each; columns beside id_col and
 vector are not read, whatever their names; without queries or candidates there are no rows.
@@ -15,6 +15,7 @@ vector are not read, whatever their names; without queries or candidates there a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import cut, forget, ready
 
 BINS, ROW_BLOCK, QUERY_BLOCK = 1 << 16, 4096, 512
+#: The largest score; its negative is the least.
+TOP = (1 << 63) - 1
 
 
 def usable(vector: str):
@@ -33,7 +36,8 @@ def usable(vector: str):
 
 
 def integers(df: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
-    v = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double"))
+    whole = lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)  # noqa: E731  larger doubles are integers
+    v = F.transform(vector, lambda x: whole(F.greatest(F.least(x.cast("double") * scale, F.lit(1.7e308)), F.lit(-1.7e308))))
     return df.filter(F.col(id_col).isNotNull() & usable(vector)).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
@@ -61,15 +65,35 @@ def _grid(queries: DataFrame, rows: DataFrame, slots: int) -> DataFrame:
     return q.join(rows, ["dim", "slot"]).select("qid", "qv", "lo", "step", "above", "id", "v", "dim")
 
 
+def inner(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of integers (as doubles), in longs; beyond these the nearest."""
+    dim = q.shape[1]
+    if not q.size or not v.size:
+        return np.zeros((len(q), len(v)), np.int64)
+    with np.errstate(over="ignore"):
+        size_q, size_v = np.abs(q).max(1), np.abs(v).max(1)
+        most = size_q.max() * size_v.max() * dim
+        if most < 2**53:
+            return (q @ v.T).astype(np.int64)
+        if most < 2**62:
+            return q.astype(np.int64) @ v.astype(np.int64).T
+        far = size_q[:, None] * size_v * dim >= 2**62
+    near = lambda x, size: np.where(size[:, None] < 2.0**62, x, 0.0).astype(np.int64)
+    s = near(q, size_q) @ near(v, size_v).T
+    for i in np.flatnonzero(far.any(1)):  # products that no long is sure to hold, by Python's integers
+        at = np.flatnonzero(far[i])
+        own = [*map(int, q[i])]
+        s[i, at] = [max(-TOP, min(TOP, sum(map(mul, own, map(int, row))))) for row in v[at]]
+    return s
+
+
 def _scores(b: pa.RecordBatch) -> Iterator[tuple]:
     """Of each row of the grid: the query's columns, the rows' ids, and the scores with the query's own rows at the lowest value."""
     for i in range(b.num_rows):
         x = {c: b.column(c)[i].as_py() for c in b.schema.names}
         qid, lo, step, above, ids = (np.frombuffer(x[c], "<i8") for c in ("qid", "lo", "step", "above", "id"))
         q, v = np.frombuffer(x["qv"], "<f8").reshape(len(qid), x["dim"]), np.frombuffer(x["v"], "<f8").reshape(len(ids), x["dim"])
-        big = x["dim"] and np.abs(q).max() * np.abs(v).max() * x["dim"] >= 2**53
-        s = (q.astype("i8") @ v.astype("i8").T) if big else (q @ v.T).astype("i8")
-        yield qid, lo, step, above, ids, s, ids[None, :] != qid[:, None]
+        yield qid, lo, step, above, ids, inner(q, v), ids[None, :] != qid[:, None]
 
 
 def _histogram(k: int, width: int):
@@ -77,11 +101,12 @@ def _histogram(k: int, width: int):
         for b in batches:
             for qid, lo, step, above, _, s, other in _scores(b):
                 none = np.iinfo(np.int64).min
-                s[~(other & (s >= lo[:, None]) & (s - lo[:, None] < width))] = none
+                above_lo = s.view(np.uint64) - lo[:, None].view(np.uint64)  # right also where a long would overflow
+                s[~(other & (s >= lo[:, None]) & (above_lo < np.uint64(width)))] = none
                 # a score below k others of this block cannot decide where the k-th of all lies
                 high = np.partition(s, -k, axis=1)[:, -k:] if s.shape[1] > k else s
                 rows, at = np.nonzero(high > none)
-                code, n = np.unique(rows * BINS + (high[rows, at] - lo[rows]) // step[rows], return_counts=True)
+                code, n = np.unique(rows * BINS + ((high[rows, at].view(np.uint64) - lo[rows].view(np.uint64)) // step[rows].view(np.uint64)).astype(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"id": qid[code // BINS], "bin": code % BINS, "n": n})
 
     return run
@@ -112,7 +137,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id"
     dealt = rows.repartition(slots, "dim", "slot")  # a stated number, so that few blocks still meet all cores
     asked = cut(integers(queries, id_col, vector, scale).groupBy("id").agg(F.min("v").alias("v")))
     norm = lambda df: df.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0] or 0.0
-    top = int(np.sqrt(norm(asked)) * np.sqrt(norm(ints)) * (1 + 1e-9)) + 1  # no score is beyond
+    far = float(np.sqrt(norm(asked))) * float(np.sqrt(norm(ints)))
+    top = int(far * (1 + 1e-9)) + 1 if far < 2**62 else TOP  # no score is beyond
     n = asked.count()
     parts = max(1, -(-n // QUERY_BLOCK))
     state = asked.select("id", F.lit(-top).cast("long").alias("lo"), F.lit(-(-(2 * top + 1) // BINS)).cast("long").alias("step"), F.lit(0).cast("long").alias("above"))
@@ -124,7 +150,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id"
         run = counts.withColumn("so_far", F.sum("n").over(down))
         found = run.join(state, "id").filter((F.col("above") + F.col("so_far") >= k) & (F.col("above") + F.col("so_far") - F.col("n") < k))
         step = F.greatest(F.ceil(F.col("step") / BINS), F.lit(1)).cast("long")
-        found = found.select("id", (F.col("lo") + F.col("bin") * F.col("step")).alias("lo"), step.alias("step"), (F.col("above") + F.col("so_far") - F.col("n")).alias("above"))
+        low = (F.col("lo").cast("decimal(38,0)") + F.col("bin").cast("decimal(10,0)") * F.col("step").cast("decimal(20,0)")).cast("long")
+        found = found.select("id", low.alias("lo"), step.alias("step"), (F.col("above") + F.col("so_far") - F.col("n")).alias("above"))
         # fewer than k candidates in all: everything from the lowest value on
         short = state.join(found, "id", "left_anti").select("id", F.lit(-top).cast("long").alias("lo"), F.lit(1).cast("long").alias("step"), F.lit(k).cast("long").alias("above"))
         width = -(-width // BINS)
