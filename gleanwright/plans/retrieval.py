@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import tables as t
 from ..functions import text, vectors
-from ..operators import dense, hybrid, lexical
-from ..session import by_size
+from ..operators import dense, hybrid, lexical, segments
+from ..session import by_size, delete, temporary
 from .registry import query
 
 TOKENS = r"regexp_extract_all(lower({0}), '[a-z0-9]+(?:[_-][a-z0-9]+)*')"
@@ -68,7 +68,70 @@ def bm25_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("bm25_topk", f"{WITH_SCORES} SELECT query_id, knowledge_id, score, rank FROM (SELECT *, {TOP.format('knowledge_id')} FROM bm25) WHERE rank <= 5")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.top(_bm25(spark, sf), "query_id", "score", "knowledge_id", 5)
+    return _bm25_best(spark, sf, 5)[0]
+
+
+def _bm25_best(spark: SparkSession, sf: str, k: int) -> tuple[DataFrame, segments.Work]:
+    """The k best records of each query from a stored index, which is deleted when it has been searched, and the work done."""
+    path = temporary(spark, "index")
+    index = segments.Index(spark, path)
+    index.add(t.records(spark, sf), "knowledge_id", "content")
+    found = index.search(t.queries(spark, sf), k, key="knowledge_id")
+    delete(spark, path)
+    return found
+
+
+@query("bm25_postings", f"{WITH_SCORES} SELECT query_id, sum(df)::BIGINT AS postings, true AS read_at_most_these FROM qc JOIN df USING (term) GROUP BY query_id")
+def bm25_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each query the postings of its terms; those that the search read are among them."""
+    work = _bm25_best(spark, sf, 5)[1].rows
+    return work.select("query_id", "postings", (F.col("read") <= F.col("postings")).alias("read_at_most_these"))
+
+
+@query("bm25_work")
+def bm25_work(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each query the postings that the search read and skipped; how many depends on how documents are dealt into blocks."""
+    return _bm25_best(spark, sf, 5)[1].rows.select("query_id", "read", (F.col("postings") - F.col("read")).alias("skipped"))
+
+
+LAST_STATE = f"""{t.RECORDS.replace("records AS", "base AS", 1)},
+records AS (SELECT knowledge_id, CASE WHEN doc_id % 3 <> 2 AND doc_id % 7 = 0 THEN 'revised ' || crop || ' ' || content ELSE content END AS content FROM base WHERE doc_id % 3 = 2 OR doc_id % 11 <> 0)"""
+LAST_SCORES = f"WITH {LAST_STATE}, {t.QUERIES}, {SCORES}"
+
+
+def _changed_index(spark: SparkSession, sf: str) -> tuple[segments.Index, str]:
+    """An index that got two thirds of the records, then changed ones, then deletes, then the last third (changed ones anew)."""
+    path, r = temporary(spark, "index"), t.records(spark, sf)
+    index = segments.Index(spark, path)
+    index.add(r.filter("doc_id % 3 <> 2"), "knowledge_id", "content")
+    index.add(r.filter("doc_id % 7 = 0").withColumn("content", F.concat(F.lit("revised "), "crop", F.lit(" "), "content")), "knowledge_id", "content", replace=True)
+    index.delete(r.filter("doc_id % 11 = 0").select("knowledge_id"))
+    index.add(r.filter("doc_id % 3 = 2"), "knowledge_id", "content", replace=True)
+    return index, path
+
+
+@query("bm25_segments", f"{LAST_SCORES} SELECT query_id, knowledge_id, score, rank FROM (SELECT *, {TOP.format('knowledge_id')} FROM bm25) WHERE rank <= 5")
+def bm25_segments(spark: SparkSession, sf: str) -> DataFrame:
+    index, path = _changed_index(spark, sf)
+    out = index.search(t.queries(spark, sf), 5, key="knowledge_id")[0]
+    delete(spark, path)
+    return out
+
+
+@query("bm25_segments_df", f"WITH {LAST_STATE}, {POSTINGS} SELECT term, df, n, round(avgdl, 6) AS avgdl FROM df, stats")
+def bm25_segments_df(spark: SparkSession, sf: str) -> DataFrame:
+    """Frequencies by subtraction. The index stays until the application ends, since the result reads it."""
+    index, _ = _changed_index(spark, sf)
+    return index.frequency().join(F.broadcast(index.stats())).select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))  # one row
+
+
+@query("bm25_merged", f"{LAST_SCORES} SELECT query_id, knowledge_id, score, rank FROM (SELECT *, {TOP.format('knowledge_id')} FROM bm25) WHERE rank <= 5")
+def bm25_merged(spark: SparkSession, sf: str) -> DataFrame:
+    index, path = _changed_index(spark, sf)
+    index.merge()
+    out = index.search(t.queries(spark, sf), 5, key="knowledge_id")[0]
+    delete(spark, path)
+    return out
 
 
 @query("bm25_incremental", f"WITH {t.RECORDS}, {POSTINGS} SELECT term, df FROM df")
@@ -110,7 +173,7 @@ hybrid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORD
 
 def merged(spark: SparkSession, sf: str) -> DataFrame:
     v = dense.vector_top(t.record_vectors(spark, sf), t.query_vectors(spark, sf), "knowledge_id", 40)
-    return hybrid.merge(v, lexical.top(_bm25(spark, sf), "query_id", "score", "knowledge_id", 40), "knowledge_id")
+    return hybrid.merge(v, _bm25_best(spark, sf, 40)[0], "knowledge_id")
 
 
 def hybrid_hits(spark: SparkSession, sf: str) -> DataFrame:

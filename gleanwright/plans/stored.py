@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 from pathlib import Path
 
 import yaml
@@ -13,14 +12,14 @@ from pyspark.sql import functions as F
 from .. import tables as t
 from ..functions import answers, text
 from ..operators import contracts, curation, lexical, models, policy
-from ..session import shared_dir
-from ..sources import manifest, readers, writers
+from ..session import temporary
+from ..sources import manifest, readers, versions, writers
 from . import retrieval as r
 from .registry import query
 
 
 def place(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    return temporary(spark, "stored")
 
 
 def local() -> Path:
@@ -121,6 +120,15 @@ def replaced_table(spark: SparkSession, sf: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+@query("published_table", "SELECT 'now' AS which, r_regionkey, r_name FROM region WHERE r_regionkey > 1 UNION ALL SELECT 'before', r_regionkey, r_name FROM region WHERE r_regionkey > 2")
+def published_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A table published three times: readers go from one version to the next in one step."""
+    path, all_rows = place(spark), t.load(spark, sf, "region").select("r_regionkey", "r_name")
+    for least in (0, 3, 2):
+        versions.publish(all_rows.filter(F.col("r_regionkey") >= least), path)
+    return versions.published(spark, path).select(F.lit("now").alias("which"), "*").unionByName(versions.published(spark, path, 1).select(F.lit("before").alias("which"), "*"))
+
+
 ENABLED = "FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_regionkey <> 1 AND n_nationkey % 4 <> 0"
 
 

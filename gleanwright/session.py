@@ -48,13 +48,44 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def filesystem(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and what makes a path object."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def temporary(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder; what is written there is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    fs, make = filesystem(spark, path)
+    fs.mkdirs(make(shared_dir(spark)))
+    fs.deleteOnExit(make(path))
+    return path
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that nothing will read again."""
+    for path in paths:
+        fs, make = filesystem(spark, path)
+        fs.delete(make(path), True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: what several steps read is computed once, and a lost executor repeats nothing before it."""
     spark = df.sparkSession
     ready(spark)
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = temporary(spark, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete tables made by written() that nothing will read again."""
+    for df in frames:
+        if path := getattr(df, "_table_path", None):
+            delete(df.sparkSession, path)
 
 
 #: Bytes of input, by the optimiser's estimate, for each core, under which rows are dealt out.
