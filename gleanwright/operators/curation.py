@@ -7,26 +7,34 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import capital, clean_label, health_status
 from ..functions.text import title_case
-from ..session import by_size
+from .containment import holding
 
 
 def normalize_labels(pairs: DataFrame, mapping: DataFrame) -> DataFrame:
     """(crop, disease) with norm_crop, norm_disease: healthy; the crop's own mapping; any crop's mapping; else the cleaned label.
 
-    mapping: (ord, crop, canonical, alias), each canonical name being an alias too. It is a dictionary of names, so it is
-    broadcast if it is counted to be small, and pairs are reduced to distinct ones before they meet it. The smallest ord that fits wins; equality before
-    containment where the order asks for it."""
+    mapping: (ord, crop, canonical, alias), each canonical name being an alias too. Pairs are reduced to distinct ones; those that
+    an alias may fit are found by equality and by the index of `containment`, and only these are looked at. The smallest ord that
+    fits wins; equality before containment where the order asks for it."""
     keys = pairs.select("crop", "disease").distinct()
     keys = keys.withColumns({"c": F.lower(F.btrim("crop")), "d": clean_label("disease")})
     keys = keys.withColumn("both", F.btrim(F.concat_ws("_", "c", "d"), F.lit("_")))
-    m = by_size(mapping.select("ord", F.col("crop").alias("mc"), F.col("canonical").alias("mcan"), clean_label("alias").alias("a")))
+    m = mapping.select("ord", F.col("crop").alias("mc"), F.col("canonical").alias("mcan"), clean_label("alias").alias("a")).distinct()
     n, d, c, both, a = F.length("a"), F.col("d"), F.col("c"), F.col("both"), F.col("a")
     own = (F.lower("mc") == c) & ((d == a) | ((n > 4) & d.contains(a)) | ((F.length(d) > 4) & a.contains(d)))
     equal = F.when((a == both) & (both != "unknown"), 0).when((a == d) & (d != "unknown"), 1).when((a == c) & (c != "unknown"), 2)
     inside = ((n >= 4) & (both.contains(a) | d.contains(a) | c.contains(a))) | ((F.length(both) > 5) & a.contains(both))
     # rank: own crop's mapping, then equality by candidate, then containment; each by the mapping's order
     step = F.when(own, 0).when(equal.isNotNull(), 1 + equal).when(inside, 4)
-    hit = keys.join(m, own | equal.isNotNull() | inside).groupBy("crop", "disease", "c", "d").agg(F.min(F.struct(step.alias("s"), "ord", "mc", "mcan")).alias("m"))
+    said = F.array("both", "d", "c")  # what an alias may equal or be inside of
+    each = keys.select("crop", "disease", F.explode(F.array_distinct(said)).alias("text"))
+    strings, aliases = each.select("text").distinct(), m.select("a").distinct()
+    alike = strings.join(aliases, F.col("text") == F.col("a")).select("text", "a")
+    alike = alike.unionByName(holding(strings, aliases.filter(F.length("a") >= 4)).withColumnRenamed("pattern", "a"))
+    alike = alike.unionByName(holding(aliases, strings.filter(F.length("text") > 4)).select(F.col("pattern").alias("text"), F.col("text").alias("a")))
+    found = each.join(alike.distinct(), "text").select(F.col("crop").alias("k1"), F.col("disease").alias("k2"), F.col("a").alias("fits")).distinct()
+    near = keys.join(found, (F.col("crop") == F.col("k1")) & (F.col("disease") == F.col("k2"))).drop("k1", "k2").join(m, F.col("fits") == F.col("a")).drop("fits")
+    hit = near.filter(own | equal.isNotNull() | inside).groupBy("crop", "disease", "c", "d").agg(F.min(F.struct(step.alias("s"), "ord", "mc", "mcan")).alias("m"))
     out = keys.join(hit.select(F.col("crop").alias("k1"), F.col("disease").alias("k2"), "m"), (F.col("crop") == F.col("k1")) & (F.col("disease") == F.col("k2")), "left")
     rest = F.btrim(F.replace(F.replace(d, F.lit("leaf_"), F.lit("")), F.lit("_leaf"), F.lit("")), F.lit(" _"))
     fallback = F.when((rest != "") & (rest != "unknown"), rest).otherwise("UNKNOWN")
@@ -39,6 +47,16 @@ def normalize_labels(pairs: DataFrame, mapping: DataFrame) -> DataFrame:
     return pairs.join(out, ["crop", "disease"])
 
 
+def class_folders(targets: DataFrame, folders: DataFrame) -> DataFrame:
+    """(target, folder): the folder that is the target; else the first by name that holds it or lies in it, apart from case."""
+    t = targets.select("target").filter("target <> ''").distinct().withColumn("b", F.lower("target"))
+    f = folders.select("folder").filter("folder <> ''").distinct().withColumn("a", F.lower("folder"))
+    inside = holding(f.select("a"), t.select("b")).select(F.col("text").alias("a"), F.col("pattern").alias("b"))
+    alike = inside.unionByName(holding(t.select("b"), f.select("a")).select(F.col("pattern").alias("a"), F.col("text").alias("b"))).distinct()
+    best = F.min(F.struct((F.col("folder") != F.col("target")).cast("int").alias("s"), "folder")).alias("m")
+    return t.join(alike, "b").join(f, "a").groupBy("target").agg(best).select("target", "m.folder")
+
+
 def unique_map(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, n): the one value of each key; keys with several have n > 1 and no value."""
     g = rows.groupBy(key).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count_distinct(value).alias("n"))

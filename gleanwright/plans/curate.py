@@ -73,11 +73,7 @@ def class_dir_name(spark: SparkSession, sf: str) -> DataFrame:
 )
 def class_match(spark: SparkSession, sf: str) -> DataFrame:
     n = t.names(spark, sf)
-    targets = n.select(F.col("noun").alias("target")).distinct()
-    folders = by_size(n.select("folder").distinct())
-    a, b = F.lower("folder"), F.lower("target")
-    hit = targets.join(folders, a.contains(b) | b.contains(a)).groupBy("target").agg(F.min(F.struct((F.col("folder") != F.col("target")).cast("int").alias("s"), "folder")).alias("m"))
-    return hit.select("target", "m.folder")
+    return curation.class_folders(n.select(F.col("noun").alias("target")), n.select("folder"))
 
 
 @query("coalesce_fields", f"{N} SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN colour WHEN 1 THEN noun ELSE 'Unknown' END AS crop, CASE p_partkey % 2 WHEN 0 THEN folder ELSE 'unknown' END AS disease FROM names")

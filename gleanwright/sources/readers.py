@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import blank_to_null
-from ..session import by_size
+from ..session import by_size, ready, written
 
 KNOWN = ("knowledge_id", "source", "source_type", "crop", "disease", "evidence_type", "content", "title", "recommendation_preference", "organic_eligible", "ipm_eligible")
 RESULTS = "image string, ground_truth string, prediction string, confidence string, truncated boolean, correct boolean, inference_time double, response string"
@@ -29,10 +31,53 @@ def json_lines_lenient(spark: SparkSession, path: str, schema: str, bad: str = "
     return parsed.filter(~broken).select("r.*").drop(bad), parsed.filter(broken).select(F.col("value").alias(bad))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_number, line) of small line files, numbered within each file."""
-    whole = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
-    return whole.select("path", F.posexplode(F.split("value", "\n")).alias("n", "line")).select("path", (F.col("n") + 1).alias("line_number"), "line").filter(F.trim("line") != "")
+#: Bytes of a line file that one task reads, if a caller says nothing else.
+RANGE = "spark.sql.files.maxPartitionBytes"
+
+
+class BadLine(ValueError):
+    """A line that is no JSON object; the message names file and line."""
+
+
+def numbered_lines(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """(path, line_number, line) of line files of any size, blank lines counted but left out.
+
+    Spark cuts a file into byte ranges. Each range numbers its own lines while it is read; a second pass adds the lines of the ranges
+    before it. Files are read once, since a later read could be cut otherwise. Lines end at a line feed; a carriage return before it goes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, int], int] = {}
+        for b in batches:
+            files, starts = b.column("path").to_pylist(), b.column("start").to_pylist()
+            number = []
+            for at in zip(files, starts, strict=True):
+                seen[at] = seen.get(at, 0) + 1
+                number.append(seen[at])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(number, pa.int64())], names=[*b.schema.names, "nth"])
+
+    ready(spark)
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.regexp_replace("value", "\r$", "").alias("line"))
+    old = spark.conf.get(RANGE)
+    spark.conf.set(RANGE, str(range_bytes) if range_bytes else old)
+    try:
+        rows = written(raw.mapInArrow(run, "path string, start long, line string, nth long"))
+    finally:
+        spark.conf.set(RANGE, old)
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = rows.groupBy("path", "start").agg(F.count(F.lit(1)).alias("n")).select("path", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return rows.join(by_size(starts), ["path", "start"]).filter(F.trim("line") != "").select("path", (F.col("before") + F.col("nth")).alias("line_number"), "line")
+
+
+def numbered_json(spark: SparkSession, path: str, schema: str, strict: bool = True, range_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """JSON lines with (path, line_number), and the lines that are no objects, with theirs. strict: if there is any, the first by file and line is an error."""
+    lines = numbered_lines(spark, path, range_bytes)
+    parsed = lines.withColumn("r", F.from_json("line", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    broken = F.col("r").isNull() | F.col("r._corrupt").isNotNull() | ~F.trim("line").startswith("{")
+    bad = parsed.filter(broken).select("path", "line_number", "line")
+    if strict and (first := bad.orderBy("path", "line_number").first()):
+        raise BadLine(f"{first.path}, line {first.line_number}: not a JSON object: {first.line[:200]}")
+    return parsed.filter(~broken).select("path", "line_number", "r.*").drop("_corrupt"), bad
 
 
 def external_records(lines: DataFrame, line: str = "line") -> DataFrame:
