@@ -253,6 +253,7 @@ class Index:
         terms = written(queries.select(F.col(query_key).alias("q"), F.explode(tokens(query)).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("times")))
         numbered = written(terms.select("q").distinct().withColumn("qn", F.monotonically_increasing_id()))
         mine = self._alive(rows.join(by_size(terms.select("term").distinct()), "term", "left_semi"), hidden)
+        heads = self._alive(rows.filter("term = ''"), hidden)
         known = self._frequency(rows.join(by_size(terms.select("term").distinct()), "term", "left_semi"), hidden)
         n, avgdl = self._stats(rows, hidden).first()
         weighted = terms.join(by_size(known), "term").select("q", "term", (F.col("times") * idf(F.lit(n), F.col("df")) * (self.k1 + 1)).alias("w"))
@@ -261,10 +262,11 @@ class Index:
         out_kind = f"q long, key {rows.schema['keys'].dataType.elementType.simpleString()}, score double, postings long, read long"
         done = []
         for k_pass in range(passes):
-            own = weighted.filter(F.pmod(F.xxhash64("qn"), F.lit(passes)) == k_pass).toArrow()  # AT_ONCE rows about
-            plan = _Plan.of(own, k, self.k1, self.b, max(float(avgdl), 1e-12))
+            own = weighted.filter(F.pmod(F.xxhash64("qn"), F.lit(passes)) == k_pass)
+            plan = _Plan.of(own.toArrow(), k, self.k1, self.b, max(float(avgdl), 1e-12))  # AT_ONCE rows about
             shared = self.spark.sparkContext.broadcast(plan)
-            some = mine.join(by_size(self.spark.createDataFrame([(x,) for x in ["", *plan.terms]], "term string")), "term", "left_semi") if passes > 1 else mine.unionByName(self._alive(rows.filter("term = ''"), hidden))
+            some = mine.join(by_size(own.select("term").distinct()), "term", "left_semi") if passes > 1 else mine
+            some = some.unionByName(heads)
             dealt = some.select("block", "term", "n", "top_tf", "least_dl", "slots", "tfs", "dls", "keys").repartition("block").sortWithinPartitions("block")
             done.append(written(dealt.mapInArrow(_search(shared), out_kind)))
         empty = self.spark.createDataFrame([], out_kind)
