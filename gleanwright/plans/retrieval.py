@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import tables as t
 from ..functions import text, vectors
-from ..operators import dense, hybrid, lexical, segments
+from ..operators import dense, hybrid, lexical, nested, segments
 from ..session import by_size, delete, temporary
 from .registry import query
 
@@ -94,6 +94,28 @@ def bm25_work(spark: SparkSession, sf: str) -> DataFrame:
     return _bm25_best(spark, sf, 5)[1].rows.select("query_id", "read", (F.col("postings") - F.col("read")).alias("skipped"))
 
 
+CHILDREN = r"""tk AS (SELECT knowledge_id, list_filter(regexp_split_to_array(content, '[\s\x{00A0}]+'), lambda x: x <> '') AS tk FROM base),
+parents AS (SELECT knowledge_id, s // 1400 AS parent, s AS parent_start, tk[s + 1:s + 1400] AS own FROM tk, unnest(range(0, len(tk), 1400)) u(s)),
+kids AS (SELECT knowledge_id, parent, parent_start, parent_start + len(own) AS parent_end, c // 550 AS child, parent_start + c AS child_start, own[c + 1:c + 650] AS got FROM parents, unnest(range(0, (greatest(ceil((len(own) - 650) / 550.0), 0) * 550 + 1)::BIGINT, 550)) u(c)),
+children AS (SELECT format('{:s}::chunk-{:04d}', knowledge_id, parent) AS parent_id, format('{:s}::chunk-{:04d}.{:02d}', knowledge_id, parent, child) AS child_id, parent_start, parent_end, child_start, child_start + len(got) AS child_end, array_to_string(got, ' ') AS content FROM kids)"""
+NESTED = f"""WITH {t.RECORDS.replace("records AS", "base AS", 1)}, {CHILDREN}, records AS (SELECT child_id AS knowledge_id, content FROM children), {t.QUERIES}, {SCORES},
+pool AS (SELECT query_id, knowledge_id AS child_id, score FROM (SELECT *, {TOP.format("knowledge_id")} FROM bm25) WHERE rank <= 40),
+one AS (SELECT *, count(*) OVER (PARTITION BY query_id, parent_id) AS n_children, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY score DESC, child_id) AS nth FROM pool JOIN children USING (child_id))
+SELECT query_id, parent_id, child_id, score, parent_start, parent_end, child_start, child_end, n_children, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) AS rank FROM one WHERE nth = 1) WHERE rank <= 5"""
+
+
+@query("parent_child_search", NESTED)
+def parent_child_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Five parents a query, found by its 40 best children."""
+    path = temporary(spark, "index")
+    children, index = nested.parents_and_children(t.records(spark, sf)), segments.Index(spark, path)
+    index.add(children, "child_id", "content")
+    hits = index.search(t.queries(spark, sf), 40, key="child_id")[0]
+    delete(spark, path)
+    longs = [F.col(c).cast("long").alias(c) for c in ("parent_start", "parent_end", "child_start", "child_end")]
+    return nested.best_parents(hits, children, 5).select("query_id", "parent_id", "child_id", "score", *longs, "n_children", "rank")
+
+
 LAST_STATE = f"""{t.RECORDS.replace("records AS", "base AS", 1)},
 records AS (SELECT knowledge_id, CASE WHEN doc_id % 3 <> 2 AND doc_id % 7 = 0 THEN 'revised ' || crop || ' ' || content ELSE content END AS content FROM base WHERE doc_id % 3 = 2 OR doc_id % 11 <> 0)"""
 LAST_SCORES = f"WITH {LAST_STATE}, {t.QUERIES}, {SCORES}"
