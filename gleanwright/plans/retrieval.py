@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import tables as t
 from ..functions import text, vectors
-from ..operators import dense, hybrid, lexical, nested, segments
+from ..operators import dense, hybrid, lexical, nested, scopes, segments
 from ..session import by_size, delete, temporary
 from .registry import query
 
@@ -116,6 +116,45 @@ def parent_child_search(spark: SparkSession, sf: str) -> DataFrame:
     return nested.best_parents(hits, children, 5).select("query_id", "parent_id", "child_id", "score", *longs, "n_children", "rank")
 
 
+TREE = """nodes AS (SELECT 'r' || r_regionkey AS node, NULL::VARCHAR AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
+above AS (SELECT node, node AS ancestor, 0 AS distance FROM nodes UNION ALL SELECT above.node, nodes.parent, distance + 1 FROM above JOIN nodes ON nodes.node = ancestor WHERE nodes.parent IS NOT NULL),
+own AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS nth, count(*) OVER () AS total FROM supplier)"""
+
+
+def _tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers in nations in regions, as (node, parent)."""
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    r = t.load(spark, sf, "region").select(name("r", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"))
+    n = t.load(spark, sf, "nation").select(name("n", "n_nationkey").alias("node"), name("r", "n_regionkey").alias("parent"))
+    return r.unionByName(n).unionByName(t.load(spark, sf, "supplier").select(name("s", "s_suppkey").alias("node"), name("n", "s_nationkey").alias("parent")))
+
+
+@query("scope_closure", f"WITH RECURSIVE {TREE} SELECT node, ancestor, distance FROM above")
+def scope_closure(spark: SparkSession, sf: str) -> DataFrame:
+    return scopes.closure(_tree(spark, sf))
+
+
+@query(
+    "scope_widened",
+    f"""WITH RECURSIVE {TREE}, {t.RECORDS}, {t.QUERIES}, {SCORES}, at_doc AS (SELECT knowledge_id, 's' || s_suppkey AS node FROM records JOIN own ON nth = doc_id % total), at_query AS (SELECT query_id, 's' || s_suppkey AS node FROM queries JOIN own ON nth = query_id % total),
+wanted AS (SELECT query_id, b.node, min(a.distance) AS level FROM at_query q JOIN above a ON a.node = q.node JOIN above b ON b.ancestor = a.ancestor GROUP BY query_id, b.node),
+met AS (SELECT bm25.query_id, knowledge_id, score, level FROM bm25 JOIN at_doc USING (knowledge_id) LEFT JOIN wanted ON wanted.query_id = bm25.query_id AND wanted.node = at_doc.node),
+reach AS (SELECT query_id, min(level) AS reach FROM (SELECT query_id, level, sum(count(*)) OVER (PARTITION BY query_id ORDER BY level) AS so_far FROM met WHERE level IS NOT NULL GROUP BY query_id, level) WHERE so_far >= 5 GROUP BY query_id),
+kept AS (SELECT met.*, reach FROM met LEFT JOIN reach USING (query_id) WHERE reach IS NULL OR level <= reach)
+SELECT query_id, knowledge_id, score, level, reach, rank FROM (SELECT *, {TOP.format("knowledge_id")} FROM kept) WHERE rank <= 5""",
+)
+def scope_widened(spark: SparkSession, sf: str) -> DataFrame:
+    """Five records a query from its supplier, or from its nation or region, if the supplier's that match are fewer."""
+    own = t.load(spark, sf, "supplier").select("s_suppkey")
+    nth = own.withColumn("nth", F.row_number().over(Window.orderBy("s_suppkey")) - 1)  # places of the fixture, two longs a supplier
+    total = nth.count()
+    place = lambda key: F.pmod(F.col(key), F.lit(total)).cast("long").alias("nth")
+    at = by_size(nth.select(F.col("nth").cast("long").alias("nth"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node")))
+    docs = t.records(spark, sf).select("knowledge_id", place("doc_id")).join(at, "nth").select("knowledge_id", "node")
+    asked = t.queries(spark, sf).select("query_id", place("query_id")).join(at, "nth").select("query_id", "node")
+    return scopes.widened(_bm25(spark, sf).join(docs, "knowledge_id"), asked, scopes.closure(_tree(spark, sf)), 5)
+
+
 LAST_STATE = f"""{t.RECORDS.replace("records AS", "base AS", 1)},
 records AS (SELECT knowledge_id, CASE WHEN doc_id % 3 <> 2 AND doc_id % 7 = 0 THEN 'revised ' || crop || ' ' || content ELSE content END AS content FROM base WHERE doc_id % 3 = 2 OR doc_id % 11 <> 0)"""
 LAST_SCORES = f"WITH {LAST_STATE}, {t.QUERIES}, {SCORES}"
