@@ -132,7 +132,23 @@ def chunk_positions(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(chunking.chunk_id("knowledge_id", "chunk_index").alias("chunk_id"), F.col("chunk_index").cast("long").alias("chunk_index"), F.col("total_chunks").cast("long").alias("total_chunks"))
 
 
-@query("chunk_pack")
+#: The packing as two folds: units into chunks of at most 800 tokens, then small chunks into the one before.
+PACKED = rf"""WITH RECURSIVE {t.RECORDS}, {SPLIT}, piece AS (SELECT knowledge_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS b FROM pieces),
+blk AS (SELECT knowledge_id, b, list_filter(regexp_split_to_array(piece, '[\s\x{{00A0}}]+'), lambda x: x <> '') AS tk FROM piece),
+units AS (SELECT knowledge_id, row_number() OVER (PARTITION BY knowledge_id ORDER BY b, s) AS u, tk[s + 1 : s + 800] AS tk FROM blk, unnest(CASE WHEN len(tk) > 800 THEN range(0, (len(tk) - 101) // 700 * 700 + 1, 700) ELSE [0] END) x(s) WHERE len(tk) > 0),
+fold AS (SELECT knowledge_id, u, tk AS now, []::VARCHAR[][] AS closed FROM units WHERE u = 1
+  UNION ALL SELECT knowledge_id, u, CASE WHEN fits THEN now || tk WHEN len(joined) > 800 THEN joined[701:] ELSE joined END, CASE WHEN fits THEN [] WHEN len(joined) > 800 THEN [now, joined[:800]] ELSE [now] END
+  FROM (SELECT n.knowledge_id, n.u, f.now, n.tk, len(f.now) + len(n.tk) <= 650 AS fits, f.now[greatest(len(f.now) - 99, 1):] || n.tk AS joined FROM fold f JOIN units n ON n.knowledge_id = f.knowledge_id AND n.u = f.u + 1)),
+shut AS (SELECT knowledge_id, u, unnest(closed) AS chunk, generate_subscripts(closed, 1) AS k FROM fold UNION ALL SELECT knowledge_id, u, now, 3 FROM (SELECT *, max(u) OVER (PARTITION BY knowledge_id) AS last_ FROM fold) WHERE u = last_),
+chunks AS (SELECT knowledge_id, chunk, row_number() OVER (PARTITION BY knowledge_id ORDER BY u, k) AS c FROM shut),
+mend AS (SELECT knowledge_id, c, chunk AS now, NULL::VARCHAR[] AS done FROM chunks WHERE c = 1
+  UNION ALL SELECT n.knowledge_id, n.c, CASE WHEN len(n.chunk) < 120 AND len(m.now) + len(n.chunk) <= 800 THEN m.now || n.chunk ELSE n.chunk END, CASE WHEN len(n.chunk) < 120 AND len(m.now) + len(n.chunk) <= 800 THEN NULL ELSE m.now END
+  FROM mend m JOIN chunks n ON n.knowledge_id = m.knowledge_id AND n.c = m.c + 1),
+whole AS (SELECT knowledge_id, c, done AS chunk FROM mend WHERE done IS NOT NULL UNION ALL SELECT knowledge_id, c + 1, now FROM (SELECT *, max(c) OVER (PARTITION BY knowledge_id) AS last_ FROM mend) WHERE c = last_)
+SELECT format('{{:s}}::chunk-{{:04d}}', knowledge_id, row_number() OVER (PARTITION BY knowledge_id ORDER BY c) - 1) AS chunk_id, (count(*) OVER (PARTITION BY knowledge_id))::INT AS total_chunks, array_to_string(chunk, ' ') AS content FROM whole"""
+
+
+@query("chunk_pack", PACKED)
 def chunk_pack(spark: SparkSession, sf: str) -> DataFrame:
     c = chunking.chunk_pack(t.records(spark, sf))
     return c.select(chunking.chunk_id("knowledge_id", "chunk_index").alias("chunk_id"), "total_chunks", "content")
