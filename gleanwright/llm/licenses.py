@@ -7,7 +7,9 @@ contain, and what no rule uses is UNKNOWN. Long and short forms of a licence end
 
 Sentences end at . ! or ? before white space, at ; or : before white space, and at blank lines; other line breaks are white
 space, so a sentence may be wrapped over lines. Only sentences that hold one of KEYS are looked at further; every form of every
-known phrase holds one. Defined cases: a null or empty text has no sentences and no licences; a very long text is scanned whole;
+known phrase holds one. Versions and "or later" are taken from the statement or from the sentence after it ("either version 2 of the
+License, or any later version"). A tag `SPDX-License-Identifier:` or `License:` before a short name is a sentence of its own; its
+expression (AND, OR, WITH, brackets) is kept as one name. Defined cases: a null or empty text has no sentences and no licences; a very long text is scanned whole;
 repeated rows are scanned one by one; an empty table stays empty; other columns pass unchanged, and new ones whose names are taken
 get an underscore in front.
 """
@@ -20,11 +22,15 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 ENDS = r"(?:[.!?;:][\x20\t\r\n]+)|(?:\n[\x20\t\r]*\n)"
-#: The sentence filter of the DuckDB oracle, which leaves out the Creative Commons names and parts of the BSD text.
+#: What most statements hold; KEYS below has the rest.
 TRIGGERS = r"licen[sc]e|warrant|redistribut|permission|spdx|public domain|all rights reserved|gnu org|copyright notice|liab|misrepresent|endorse|claim that you wrote|free software"
+UNDER = r"(?:licensed|released|distributed|available) under (?:the )?"
+LATER = r"(?:or later|or newer|any later)"
+#: The three GNU licences: name, the words of the long name, and the short name.
+GNU = (("AGPL", "gnu affero general public license", "agpl"), ("LGPL", "gnu (?:lesser|library) general public license", "lgpl"), ("GPL", "gnu general public license", "gpl"))
 #: Identifier and phrase (a regular expression over a normalised sentence), in the order in which they are tried. A group is a version.
 SENTENCES: list[tuple[str, str]] = [
-    ("SPDX", r"spdx license identifier ([a-z0-9.+-]+)"),
+    ("SPDX", r"spdx license identifier ([a-z0-9.+() -]+)"),
     ("PermGrantMIT", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("PermNoticeMIT", r"the above copyright notice and this permission notice shall be included"),
     ("PermGrantISC", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
@@ -44,9 +50,12 @@ SENTENCES: list[tuple[str, str]] = [
     ("ApacheSee", r"see the license for the specific language governing permissions"),
     ("Apache", r"apache (?:software )?license,? (?:version |v)?([0-9.]*[0-9])"),
     ("Apache", r"apache ([0-9.]*[0-9]) license"),
-    ("AGPLFree", r"(?:under the terms of|licensed under|released under) the gnu affero general public license(?:[a-z0-9 ]*?(?:version|v) ?([0-9.]*[0-9]))?"),
-    ("LGPLFree", r"(?:under the terms of|licensed under|released under) the gnu (?:lesser|library) general public license(?:[a-z0-9 ]*?(?:version|v) ?([0-9.]*[0-9]))?"),
-    ("GPLFree", r"(?:under the terms of|licensed under|released under) the gnu general public license(?:[a-z0-9 ]*?(?:version|v) ?([0-9.]*[0-9]))?"),
+    *((f"{n}FreeLater", rf"(?:under the terms of|licensed under|released under) the {long}[a-z0-9 ]*?(?:version|v) ?([0-9.]*[0-9])[a-z0-9 ]*?{LATER}") for n, long, _ in GNU),
+    *((f"{n}Free", rf"(?:under the terms of|licensed under|released under) the {long}(?:[a-z0-9 ]*?(?:version|v) ?([0-9.]*[0-9]))?") for n, long, _ in GNU),
+    *((f"{n}ShortLater", rf"{UNDER}(?:gnu )?{short} ?(?:version |v)?([0-9.]*[0-9])(?:[+]| {LATER})") for n, _, short in GNU),
+    *((f"{n}Short", rf"{UNDER}(?:gnu )?{short} ?(?:version |v)?([0-9.]*[0-9])") for n, _, short in GNU),
+    ("GNULater", rf"either version ([0-9.]*[0-9]) of the license[a-z0-9 ]*?{LATER}"),
+    ("GNUVersion", r"(?:only|either)? ?version ([0-9.]*[0-9]) of the license"),
     ("GPLHope", r"distributed in the hope that it will be useful but without any warranty"),
     ("GPLSee", r"see the gnu (?:lesser |library |affero )?general public license for more details"),
     ("GPLCopy", r"you should have received a copy of the gnu (?:lesser |library |affero )?general public license"),
@@ -67,10 +76,13 @@ SENTENCES: list[tuple[str, str]] = [
     ("BSD2", r"(?:2 clause bsd|bsd 2 clause|simplified bsd|freebsd) licen[sc]e"),
     ("BSD", r"\bbsd (?:style )?licen[sc]e"),
     ("ISC", r"\bisc licen[sc]e"),
+    ("MITShort", rf"{UNDER}mit\b"),
+    ("ISCShort", rf"{UNDER}isc\b"),
+    ("ApacheShort", rf"{UNDER}apache ?(?:version |v)?([0-9.]*[0-9])"),
     ("AllRights", r"all rights reserved"),
     ("Licensed", r"(?:licensed|released|distributed|available) under (?:the )?[a-z0-9 .+-]*licen[sc]e"),
 ]
-#: Name and the identifiers that make it, in order of preference; [v] takes the version of the identifier before it, ? marks what may be missing.
+#: Name and the identifiers that make it, in order of preference; [v] takes the version of the identifier with !, else of the first that must be there, ? marks what may be missing.
 RULES: list[tuple[str, str]] = [
     ("MIT", "PermGrantMIT PermNoticeMIT AsIsMIT?"),
     ("ISC", "PermGrantISC AsIsISC?"),
@@ -78,20 +90,27 @@ RULES: list[tuple[str, str]] = [
     ("BSD-2-Clause", "BSDPre? BSDSource BSDBinary AsIsBSD?"),
     ("Zlib", "ZlibGrant ZlibOrigin? ZlibOrigin? ZlibAltered?"),
     ("Apache-[v]", "Apache ApacheLimit? ApacheCopy? ApacheAsIs? ApacheSee?"),
-    ("AGPL-[v]", "AGPLFree GPLHope? GPLSee? GPLCopy?"),
-    ("LGPL-[v]", "LGPLFree GPLHope? GPLSee? GPLCopy?"),
-    ("GPL-[v]", "GPLFree GPLHope? GPLSee? GPLCopy?"),
+    *((f"{n}-[v]-or-later", f"{n}Free GNULater! GPLHope? GPLSee? GPLCopy?") for n, _, _ in GNU),
+    *((f"{n}-[v]-or-later", f"{n}FreeLater GNULater? GPLHope? GPLSee? GPLCopy?") for n, _, _ in GNU),
+    *((f"{n}-[v]", f"{n}Free GNUVersion! GPLHope? GPLSee? GPLCopy?") for n, _, _ in GNU),
+    *((f"{n}-[v]", f"{n}Free GPLHope? GPLSee? GPLCopy?") for n, _, _ in GNU),
+    *((f"{n}-[v]-or-later", f"{n}ShortLater") for n, _, _ in GNU), *((f"{n}-[v]", f"{n}Short") for n, _, _ in GNU), ("Apache-[v]", "ApacheShort"),
     ("MPL-[v]", "MPL"), ("EPL-[v]", "EPL"), ("CC0-[v]", "CC0"), ("BSL-[v]", "Boost"),
     ("CC-BY-NC-SA-[v]", "CCBYNCSA"), ("CC-BY-NC-ND-[v]", "CCBYNCND"), ("CC-BY-NC-[v]", "CCBYNC"), ("CC-BY-SA-[v]", "CCBYSA"), ("CC-BY-ND-[v]", "CCBYND"), ("CC-BY-[v]", "CCBY"),
     ("Unlicense", "Unlicense"), ("PublicDomain", "PublicDomain"), ("[v]", "SPDX"),
-    ("MIT", "MIT"), ("BSD-3-Clause", "BSD3"), ("BSD-2-Clause", "BSD2"), ("BSD", "BSD"), ("ISC", "ISC"),
+    ("MIT", "MIT"), ("MIT", "MITShort"), ("ISC", "ISCShort"), ("BSD-3-Clause", "BSD3"), ("BSD-2-Clause", "BSD2"), ("BSD", "BSD"), ("ISC", "ISC"),
     ("AllRightsReserved", "AllRights"),
 ]
-#: A machine-readable tag is a sentence of its own, and keeps its hyphens.
-TAG = r"spdx-license-identifier=([a-z0-9.+-]*[a-z0-9+])"
+#: A machine-readable tag is a sentence of its own, and keeps its hyphens. An expression: names, brackets, and the words between names.
+NAME = r"\(?[a-z0-9.+-]*[a-z0-9+]\)?"
+TAG = rf"spdx-license-identifier=({NAME}(?: (?:and|or|with) {NAME})*)"
+#: Tags in a text, before they are made sentences: the SPDX one before any name, `License:` before a name that is known.
+ANY_NAME = NAME.replace("a-z", "A-Za-z")
+TAGGED = rf"(?i:spdx-license-identifier):[ \t]*({ANY_NAME}(?: (?:AND|OR|WITH) {ANY_NAME})*)"
+LABELLED = r"(?i)\blicen[sc]e:[ \t]*((?:mit|isc|0bsd|unlicense|bsl-1\.0|zlib|(?:apache|agpl|lgpl|gpl|mpl|epl|bsd|cc0|cc-by)(?:-[a-z0-9.+-]*[a-z0-9+]|v?[0-9.]*[0-9][+]?)))"
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Words of a normalised sentence; each form of each phrase above holds one. cc0 and cc by count only as words of their own.
-KEYS = rf"{TRIGGERS}|(?<![a-z0-9])(?:cc0|cc by)(?![a-z0-9])|creative commons|attribution (?:noncommercial|sharealike|noderiv)|names? of (?:its|the) contributors|software is provided by"
+KEYS = rf"{TRIGGERS}|(?:^|[^a-z0-9])(?:cc0|cc by)(?:[^a-z0-9]|$)|under (?:the |gnu )*[al]?gpl|under (?:the )?(?:mit|isc|apache)|creative commons|attribution (?:noncommercial|sharealike|noderiv)|names? of (?:its|the) contributors|software is provided by"
 #: The same over a whole text in lower case, where any other signs may stand between two words.
 RAW_KEYS = KEYS.replace(" ", "[^a-z0-9+]+")
 
@@ -120,11 +139,11 @@ def identifier(sentence: Column) -> Column:
 
 def rule_pattern(sequence: str) -> str:
     """A regular expression over identifiers that are written |Name=version||Name|."""
-    out, first = "", True
-    for part in sequence.split():
-        name, maybe = part.rstrip("?"), part.endswith("?")
-        one = rf"\|{name}(?:=([a-z0-9.+-]*))?\|" if first and not maybe else rf"\|{name}(?:=[a-z0-9.+-]*)?\|"
-        first = first and maybe
+    out, parts = "", sequence.split()
+    at = next((k for k, x in enumerate(parts) if x.endswith("!")), next(k for k, x in enumerate(parts) if not x.endswith("?")))
+    for k, part in enumerate(parts):
+        name, maybe = part.rstrip("?!"), part.endswith("?")
+        one = rf"\|{name}(?:=([a-z0-9.+() -]*))?\|" if k == at else rf"\|{name}(?:=[a-z0-9.+() -]*)?\|"
         out += f"(?:{one})?" if maybe else one
     return out
 
@@ -142,7 +161,7 @@ def scan(docs: DataFrame, column: str = "text", names: tuple[str, str] = ("sente
     ids, found, raw = (fresh(n, docs.columns) for n in (*names, "_sentences"))
     # one cheap test of the whole text; most texts end here
     hit = F.translate(F.col(column), *LOWER).rlike(RAW_KEYS)
-    tagged = F.regexp_replace(F.col(column), r"(?i)(spdx-license-identifier):[ \t]*([a-z0-9.+-]*[a-z0-9+])", "\n\n$1=$2\n\n")
+    tagged = F.regexp_replace(F.regexp_replace(F.col(column), LABELLED, "spdx-license-identifier: $1"), TAGGED, "\n\nspdx-license-identifier=$1\n\n")
     cut = F.filter(F.transform(F.split(tagged, ENDS), normalised), lambda s: s.rlike(KEYS))
     out = docs.withColumn(raw, F.when(hit, cut).otherwise(F.array().cast("array<string>")))
     known = F.filter(F.transform(F.coalesce(F.col(raw), F.array().cast("array<string>")), identifier), lambda x: x.isNotNull())

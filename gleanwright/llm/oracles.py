@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import ENDS, LOWER, RULES, SENTENCES, TAG, TRIGGERS, rule_pattern
+from .licenses import ENDS, KEYS, LABELLED, LOWER, RULES, SENTENCES, TAG, TAGGED, rule_pattern
 
 FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
@@ -24,9 +24,10 @@ def _licence_sql() -> str:
     for name, sequence in RULES:
         named = f"regexp_replace({named}, {q(rule_pattern(sequence))}, {q('<' + name.replace('[v]', chr(92) + '1') + '>')}, 'g')"
     named = f"regexp_replace(regexp_replace({named}, '\\|[^|<>]*\\|', '<UNKNOWN>', 'g'), '-?>', '>', 'g')"
-    tagged = "regexp_replace(text, '(?i)(spdx-license-identifier):[ \\t]*([a-z0-9.+-]*[a-z0-9+])', chr(10) || chr(10) || '\\1=\\2' || chr(10) || chr(10), 'g')"
+    gap = "chr(10) || chr(10)"
+    tagged = f"regexp_replace(regexp_replace(text, {q(LABELLED)}, 'spdx-license-identifier: \\1', 'g'), {q(TAGGED)}, {gap} || 'spdx-license-identifier=\\1' || {gap}, 'g')"
     return f"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace({tagged}, {q(ENDS)}, chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace({tagged}, {q(ENDS)}, chr(1), 'g'), chr(1)), 1) AS k FROM documents),
-n AS (SELECT doc_id, k, {norm} AS n FROM s), i AS (SELECT doc_id, k, {ident} AS id FROM n WHERE regexp_matches(n, {q(TRIGGERS)})),
+n AS (SELECT doc_id, k, {norm} AS n FROM s), i AS (SELECT doc_id, k, {ident} AS id FROM n WHERE regexp_matches(n, {q(KEYS)})),
 g AS (SELECT doc_id, count(*) AS c, string_agg(id, ',' ORDER BY k) AS ids, string_agg('|' || id || '|', '' ORDER BY k) AS joined FROM i WHERE id IS NOT NULL GROUP BY doc_id)
 SELECT d.doc_id, coalesce(c, 0) AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(array_to_string(regexp_extract_all({named}, '<([^>]*)>', 1), ','), '') AS licenses FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id"""
 

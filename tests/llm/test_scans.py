@@ -29,6 +29,22 @@ distributed under the License is distributed on an "AS IS" BASIS. See the Licens
         ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
         ("// SPDX-License-Identifier: BSD-3-Clause\n\nint x;", ["bsd-3-clause"]),
         ("Licensed under the Foo Bar License. Also under the MIT license.", ["UNKNOWN", "MIT"]),
+        ("This program is free software; you can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", ["GPL-2-or-later"]),
+        ("It is released under the GNU Lesser General Public License as published by the FSF, either version 2.1 of the License, or any later version.", ["LGPL-2.1-or-later"]),
+        ("You may use it under the terms of the GNU General Public License; version 2 of the License.\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.", ["GPL-2"]),
+        ("Licensed under the GNU Affero General Public License, version 3 or later.", ["AGPL-3-or-later"]),
+        ("Licensed under GPLv3.", ["GPL-3"]),
+        ("Released under the LGPL 2.1+.", ["LGPL-2.1-or-later"]),
+        ("Distributed under GNU GPL version 2 or later.", ["GPL-2-or-later"]),
+        ("Licensed under MIT.", ["MIT"]),
+        ("Available under the ISC", ["ISC"]),
+        ("Licensed under Apache 2.0", ["Apache-2.0"]),
+        ("License: MIT", ["mit"]),
+        ("license: BSD-3-Clause, see below", ["bsd-3-clause"]),
+        ("# SPDX-License-Identifier: (MIT OR Apache-2.0)\ncode", ["(mit or apache-2.0)"]),
+        ("/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */", ["gpl-2.0-only with linux-syscall-note"]),
+        ("SPDX-License-Identifier: MIT or something else", ["mit"]),
+        ("He walked under mittens and the giraffe. License: yes.", []),
         ("She had a driving licence and a permission.", []),
         ("", []),
         (None, []),
