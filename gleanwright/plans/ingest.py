@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import tables as t
-from ..operators import html
+from ..operators import html, table_functions
 from ..sources import manifest
 from ..streaming import resume
 from .registry import query
@@ -40,6 +40,13 @@ def html_sections(spark: SparkSession, sf: str) -> DataFrame:
     return html.sections(pages(spark, sf), "page_id").select("page_id", "knowledge_id", "document_id", "document_title", "section", "subsection", "content")
 
 
+@query("html_sections_sql")
+def html_sections_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The sections by a table function and a lateral join; tests hold it against html_sections."""
+    table_functions.register(spark)
+    return spark.sql("SELECT page_id, s.counter, s.section, s.subsection, s.content FROM {pages}, LATERAL page_sections(html) s", pages=pages(spark, sf).select("page_id", "html"))
+
+
 LINES = r"array_to_string(list_filter(list_transform(regexp_split_to_array(translate(text, chr(160) || 'Â', '  '), '\r\n|\n|\r'), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: s <> ''), chr(10))"
 
 

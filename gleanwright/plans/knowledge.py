@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import tables as t
 from ..functions import text
-from ..operators import chunking, policy
+from ..operators import chunking, policy, table_functions
 from ..sources import readers
 from . import retrieval as r
 from ..session import by_size
@@ -154,6 +154,27 @@ def chunk_pack(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(chunking.chunk_id("knowledge_id", "chunk_index").alias("chunk_id"), "total_chunks", "content")
 
 
+@query("chunk_pack_sql", PACKED)
+def chunk_pack_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The packed chunks by a table function and a lateral join."""
+    table_functions.register(spark)
+    return spark.sql(
+        "SELECT format_string('%s::chunk-%04d', knowledge_id, c.chunk_index) AS chunk_id, c.total_chunks, c.content FROM {docs}, LATERAL packed_chunks(content, 650, 100, 800, 120) c",
+        docs=t.records(spark, sf).select("knowledge_id", "content"),
+    )
+
+
+@query("chunk_lines_sql", PACKED)
+def chunk_lines_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The packed chunks by a table function over the lines of all texts, brought together by text and in order."""
+    table_functions.register(spark)
+    lines = t.records(spark, sf).select("knowledge_id", F.posexplode(F.split("content", "\n")).alias("position", "line"))
+    return spark.sql(
+        "SELECT format_string('%s::chunk-%04d', knowledge_id, chunk_index) AS chunk_id, total_chunks, content FROM packed_lines(TABLE(SELECT * FROM {lines}), 'knowledge_id', 'position', 'line')",
+        lines=lines,
+    )
+
+
 # policy
 
 THRESHOLD = 0.2
