@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import capital, clean_label, health_status
 from ..functions.text import title_case
+from ..session import by_size
 from .containment import holding
 
 
@@ -89,11 +90,22 @@ def hash_order(key: Column | str, seed: int | str = 42) -> Column:
 
 
 def stratified_split(rows: DataFrame, strata: list[str], key: str, train: float = 0.8, validation: float = 0.1, seed: int = 42) -> DataFrame:
-    """rows with `split`: in each stratum the first floor(train n) in hash order, then floor(validation n), the rest test."""
-    w = Window.partitionBy(*strata)
-    r = rows.withColumns({"_i": F.row_number().over(w.orderBy(hash_order(key, seed), key)), "_n": F.count(F.lit(1)).over(w)})
+    """rows with `split`: in each stratum the first floor(train n) in hash order, then floor(validation n), the rest test.
+
+    Places are found by counting hash prefixes of each stratum, so a task ranks one part in 4,096 of a stratum; a null is a stratum too."""
+    h = rows.withColumn("_h", hash_order(key, seed)).withColumn("_p", F.substring("_h", 1, 3))
+    names = [f"_s{k}" for k in range(len(strata))]
+    prefix = h.groupBy(*(F.col(s).alias(n) for s, n in zip(strata, names, strict=True)), F.col("_p").alias("_q")).agg(F.count(F.lit(1)).alias("_c"))
+    own = Window.partitionBy(*names)
+    before = F.coalesce(F.sum("_c").over(own.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    prefix = prefix.withColumns({"_before": before, "_n": F.sum("_c").over(own)})
+    on = F.col("_p") == F.col("_q")
+    for s, n in zip(strata, names, strict=True):
+        on = on & F.col(s).eqNullSafe(F.col(n))
+    ranked = h.join(by_size(prefix), on).withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy(*strata, "_p").orderBy("_h", key)))
     a, b = F.floor(F.col("_n") * train), F.floor(F.col("_n") * validation)
-    return r.withColumn("split", F.when(F.col("_i") <= a, "train").when(F.col("_i") <= a + b, "validation").otherwise("test")).drop("_i", "_n")
+    split = F.when(F.col("_i") <= a, "train").when(F.col("_i") <= a + b, "validation").otherwise("test")
+    return ranked.withColumn("split", split).select(*rows.columns, "split")
 
 
 def holdout(rows: DataFrame, key: str, share: float = 0.1, seed: int = 42, least: int = 0, front: bool = False) -> DataFrame:

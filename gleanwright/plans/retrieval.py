@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import tables as t
 from ..functions import text, vectors
-from ..operators import dense, hybrid, lexical, nested, scopes, segments
+from ..operators import dense, grounding, hybrid, lexical, nested, scopes, segments
 from ..session import by_size, delete, temporary
 from .registry import query
 
@@ -116,6 +116,45 @@ def parent_child_search(spark: SparkSession, sf: str) -> DataFrame:
     return nested.best_parents(hits, children, 5).select("query_id", "parent_id", "child_id", "score", *longs, "n_children", "rank")
 
 
+SUPPORT = f"""{WITH_SCORES}, pairs AS (SELECT query_id, knowledge_id, rank FROM (SELECT *, {TOP.format("knowledge_id")} FROM bm25) WHERE rank <= 5),
+sent AS (SELECT query_id, unnest(regexp_split_to_array(query, '[.!?]+\\s+|\\n+')) AS sentence, generate_subscripts(regexp_split_to_array(query, '[.!?]+\\s+|\\n+'), 1) AS s FROM queries),
+st AS (SELECT query_id, s, {TOKENS.format("sentence")} AS tk FROM sent), sz AS (SELECT *, len(tk) AS size, least(len(tk), 4) AS n FROM st WHERE len(tk) > 0),
+sr AS (SELECT query_id, s, size, n, i AS at_, array_to_string(tk[i + 1:i + n], ' ') AS run FROM sz, unnest(range(0, size - n + 1)) u(i)),
+cr AS (SELECT DISTINCT knowledge_id, array_to_string(tk[i + 1:i + k], ' ') AS run FROM (SELECT * FROM toks WHERE knowledge_id IN (SELECT knowledge_id FROM pairs)), (VALUES (1), (2), (3), (4)) v(k), unnest(range(0, greatest(len(tk) - k + 1, 0))) u(i)),
+met AS (SELECT sr.*, knowledge_id, rank FROM sr JOIN pairs USING (query_id) JOIN cr USING (knowledge_id, run)), spot AS (SELECT DISTINCT query_id, s, size, knowledge_id, rank, p FROM met, unnest(range(at_, at_ + n)) u(p)),
+whole AS (SELECT query_id, count(*) AS n_supported FROM (SELECT query_id, s FROM spot GROUP BY query_id, s HAVING count(DISTINCT p) * 2 >= any_value(size)) GROUP BY query_id),
+each_ AS (SELECT DISTINCT query_id, rank FROM (SELECT query_id, s, knowledge_id, rank FROM spot GROUP BY ALL HAVING count(*) * 2 >= any_value(size))),
+prec AS (SELECT query_id, avg(so_far / rank) AS context_precision FROM (SELECT query_id, rank, count(*) OVER (PARTITION BY query_id ORDER BY rank) AS so_far FROM each_) GROUP BY query_id)
+SELECT query_id, count(*) AS n_sentences, coalesce(any_value(n_supported), 0) AS n_supported, round(coalesce(any_value(n_supported), 0) / count(*), 6) AS context_recall, round(coalesce(any_value(context_precision), 0), 6) AS context_precision
+FROM sz LEFT JOIN whole USING (query_id) LEFT JOIN prec USING (query_id) GROUP BY query_id"""
+
+
+@query("answer_support", SUPPORT)
+def answer_support(spark: SparkSession, sf: str) -> DataFrame:
+    """How far each benchmark text, as an answer, rests on the five records found for it."""
+    answers, r = t.queries(spark, sf), t.records(spark, sf)
+    pairs = _bm25_best(spark, sf, 5)[0]
+    out = grounding.support(answers.select("query_id", F.col("query").alias("text")), pairs, r.select("knowledge_id", F.col("content").alias("text")), "query_id", "knowledge_id")
+    return out.select("query_id", "n_sentences", "n_supported", F.round("context_recall", 6).alias("context_recall"), F.round("context_precision", 6).alias("context_precision"))
+
+
+ENTITIES = "regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*|[0-9]+(?:[.,][0-9]+)*')"
+
+
+@query(
+    "entity_recall",
+    f"""WITH e AS (SELECT conv_id, turn, role, unnest({ENTITIES}) AS entity FROM conversations), a AS (SELECT DISTINCT conv_id, turn, entity FROM e WHERE role = 'assistant'), c AS (SELECT DISTINCT conv_id, entity FROM e WHERE role <> 'assistant')
+SELECT a.conv_id || ':' || a.turn AS answer_id, count(*) AS n_entities, count(c.entity) AS n_found, round(count(c.entity) / count(*), 6) AS entity_recall FROM a LEFT JOIN c ON c.conv_id = a.conv_id AND c.entity = a.entity GROUP BY a.conv_id, a.turn""",
+)
+def entity_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each assistant turn's entities, those that the conversation's other roles name."""
+    c = t.load(spark, sf, "conversations")
+    name = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("answer_id")
+    answers = c.filter("role = 'assistant'").select("conv_id", name, "text")
+    others = c.filter("role <> 'assistant'").select("conv_id", "text").join(answers.select("conv_id", "answer_id").distinct(), "conv_id").select("answer_id", "text")
+    return grounding.entity_recall(answers, others).withColumn("entity_recall", F.round("entity_recall", 6))
+
+
 TREE = """nodes AS (SELECT 'r' || r_regionkey AS node, NULL::VARCHAR AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
 above AS (SELECT node, node AS ancestor, 0 AS distance FROM nodes UNION ALL SELECT above.node, nodes.parent, distance + 1 FROM above JOIN nodes ON nodes.node = ancestor WHERE nodes.parent IS NOT NULL),
 own AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS nth, count(*) OVER () AS total FROM supplier)"""
