@@ -9,6 +9,7 @@ from .text import blank_to_null, col, mapped, shave, strip
 
 #: The labels of the evaluation set, in the order of their numbers.
 LABELS = ("apple scab", "common rust", "northern leaf blight", "black rot", "leaf blast", "septoria leaf spot")
+#: Marks of the final answer, fields that name a condition.
 FINAL = r"(?is)^.*(?:</think>|</thinking>|final answer:)(.*)$"
 FIELDS = ("most likely disease", "disease", "diagnosis", "class")
 #: Labels with a display name that title case would not give.
@@ -18,6 +19,7 @@ DISPLAY = {
     "pepper bell bacterial spot": "Pepper Bacterial Spot",
     "pepper bell healthy": "Pepper Healthy",
 }
+#: Crop words that loose labels leave out, and aliases.
 CROP_WORDS = ("tomato", "potato", "apple", "grape", "pepper", "bell")
 ALIASES = {
     "disease": ("Most likely disease or condition", "Most likely disease", "Disease", "Disease or condition"),

@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .evaluation import verdict
+
 #: The columns of an index row, and the metadata that a reranker's candidate carries.
 INDEX_FIELDS = (
     "chunk_id", "knowledge_id", "source", "source_type", "crop", "disease", "evidence_type", "content", "recommendation_preference",
@@ -29,6 +31,26 @@ def index_rows(chunks: DataFrame) -> DataFrame:
     return some.select(*(F.col(c) if c in some.columns else F.lit(None).cast("string").alias(c) for c in INDEX_FIELDS))
 
 
+#: Text fields of an evidence row of the service, those of them that are "Unknown" where the rows have no such column, and its scores.
+EVIDENCE_FIELDS, NAMED_UNKNOWN = ("knowledge_id", "chunk_id", "source", "source_type", "crop", "disease", "evidence_type", "recommendation_preference"), ("source", "source_type")
+EVIDENCE_SCORES = ("vector_score", "bm25_score", "hybrid_score")
+
+
+def api_evidence(accepted: DataFrame, *keep: str) -> DataFrame:
+    """accepted rows with exactly the service's evidence columns, after those in `keep`: reranker_score must be a number, the other scores may be null."""
+    text = [F.col(c) if c in accepted.columns else (F.lit("Unknown") if c in NAMED_UNKNOWN else F.lit(None).cast("string")).alias(c) for c in EVIDENCE_FIELDS]
+    number = lambda c: (F.col(c) if c in accepted.columns else F.lit(None)).cast("double").alias(c)
+    return accepted.select(*keep, *text, F.col("reranker_score").cast("double").alias("reranker_score"), *map(number, EVIDENCE_SCORES))
+
+
+def ab_rows(base: DataFrame, lora: DataFrame) -> DataFrame:
+    """The 15 columns of a comparison file: two result tables of the same images side by side, and the verdict."""
+    fields = ("prediction", "confidence", "truncated", "correct", "inference_time", "response")
+    side = lambda df, name: [F.col(c).alias(f"{name}_{c}") for c in fields]
+    both = base.select("image", "ground_truth", *side(base, "base")).join(lora.select("image", *side(lora, "lora")), "image")
+    return both.withColumn("verdict", verdict("ground_truth", "base_prediction", "lora_prediction"))
+
+
 def rerank_metadata(chunks: DataFrame, own: str | None = None, name: str = "metadata") -> DataFrame:
     """chunks with a map of the reranker's fields as strings, laid over the map in column `own`; missing fields are null."""
     fields = F.create_map(*(x for c in RERANK_FIELDS for x in (F.lit(c), _text(chunks, c))))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import blank_to_null, clean, col, stable_id, strip, tidy_label
 from ..session import ready, spread
 
+#: Elements whose content is not read.
 DROPPED = "(?is)<(script|style|noscript|iframe)\\b.*?</(?:script|style|noscript|iframe)>"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 KEPT, HEADS = frozenset(("h1", "h2", "h3", "h4", "p", "li", "table")), ("h1", "h2")
@@ -49,6 +50,7 @@ BODY_TYPES = (
     (r"\bsymptoms?\s*:\b", "symptoms"),
     (r"\bspread\s+and\s+survival\b|\bfavou?rable\s+condition\b", "epidemiology"),
 )
+#: Words of management prose.
 PROSE = r"\bmanage(?:ment)?\b|\bcontrol(?:ling)?\b|\bprevent(?:ion)?\b|\brotate\s+crops?\b|\bresistant\s+(?:cultivar|variet(?:y|ies)|hybrid)s?\b"
 
 
@@ -164,7 +166,7 @@ def clean_page_text(c: Column | str) -> Column:
 
 
 def _any(words: tuple[str, ...]) -> str:
-    return "|".join(w.replace(" ", r" ") for w in words)
+    return "|".join(words)
 
 
 def crop_disease(text: Column | str, *context: Column | str) -> Column:

@@ -31,6 +31,14 @@ def check_request(preference: str, evidence_type: str | None) -> None:
         raise ValueError(f"unknown evidence type {evidence_type!r}; known: {', '.join(EVIDENCE_TYPES)}")
 
 
+def demand_queries(queries: DataFrame, query: str = "query", k: int = 1) -> None:
+    """What the agent and the re-ranker ask for: no blank query, and at least one row wanted. Retrievers give no rows for a blank query instead."""
+    if k < 1:
+        raise ValueError("top_k must be at least 1")
+    if not queries.filter(F.col(query).isNull() | ~F.col(query).rlike(r"\S")).isEmpty():
+        raise ValueError("query must not be empty")
+
+
 def overlap_score(query: Column | str, content: Column | str) -> Column:
     """The share of a query's distinct tokens that the content has: the stand-in for a cross-encoder."""
     q = F.array_distinct(tokens(query))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import tables as t
 from ..functions import text
-from ..operators import chunking, policy, table_functions
+from ..operators import chunking, contracts, hybrid, policy, table_functions
 from ..sources import readers
 from . import retrieval as r
 from ..session import by_size
@@ -211,6 +211,22 @@ def judged(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("reason", policy.refusal("want_crop", None, "want_type", "preference", THRESHOLD))
 
 
+@query(
+    "api_evidence",
+    f"""WITH {r.CANDIDATES} SELECT f.query_id, f.knowledge_id, f.knowledge_id || '::chunk-0000' AS chunk_id, source, 'Unknown' AS source_type, crop, disease, evidence_type, recommendation_preference, {OVERLAP} AS reranker_score,
+CASE WHEN vector_rank IS NOT NULL THEN vector_score END AS vector_score, CASE WHEN bm25_rank IS NOT NULL THEN bm25_score END AS bm25_score, round(rrf_score, 6) AS hybrid_score FROM fused f JOIN records USING (knowledge_id) JOIN queries USING (query_id)""",
+)
+def api_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """All candidates in the service's shape: a score is null where that retriever did not find the record."""
+    q, m = t.queries(spark, sf), r.merged(spark, sf)
+    policy.demand_queries(q)
+    found = lambda score, rank: F.when(F.col(rank).isNotNull(), F.col(score))
+    m = m.withColumns({"vector_score": found("vector_score", "vector_rank"), "bm25_score": found("bm25_score", "bm25_rank"), "hybrid_score": F.round(hybrid.rrf("vector_rank", "bm25_rank"), 6)})
+    rows = m.join(by_size(q.select("query_id", "query")), "query_id").join(t.records(spark, sf), "knowledge_id")
+    rows = rows.withColumns({"chunk_id": F.concat("knowledge_id", F.lit("::chunk-0000")), "reranker_score": policy.overlap_score("query", "content")})
+    return contracts.api_evidence(rows, "query_id")
+
+
 @query("preference_narrowing", f"WITH {NARROW} SELECT query_id, knowledge_id FROM narrow")
 def preference_narrowing(spark: SparkSession, sf: str) -> DataFrame:
     return narrow(spark, sf).select("query_id", "knowledge_id")

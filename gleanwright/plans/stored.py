@@ -98,6 +98,20 @@ def results_json(spark: SparkSession, sf: str) -> DataFrame:
     return readers.json_lines(spark, f"{path}/json", readers.RESULTS)
 
 
+SIDES = ", ".join(f"{p} AS {m}_prediction, (event_id % 100) || '%' AS {m}_confidence, event_id % 2 = 0 AS {m}_truncated, {p} = event_type AS {m}_correct, value AS {m}_inference_time, 'said \"' || event_type || '\"' || chr(10) || 'and more' AS {m}_response" for m, p in (("base", "CASE WHEN event_id % 4 = 0 THEN 'other, \"odd\"' ELSE event_type END"), ("lora", "CASE WHEN event_id % 6 = 0 THEN 'none' ELSE event_type END")))
+VERDICT = "CASE WHEN event_id % 4 <> 0 AND event_id % 6 <> 0 THEN 'BOTH CORRECT' WHEN event_id % 6 <> 0 THEN 'IMPROVED' WHEN event_id % 4 <> 0 THEN 'REGRESSED' ELSE 'BOTH INCORRECT' END AS verdict"
+
+
+@query("ab_results_round_trip", f"SELECT 'img-' || event_id || '.jpg' AS image, event_type AS ground_truth, {SIDES}, {VERDICT} FROM events")
+def ab_results_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Two models' results side by side, written as the comparison file of 15 columns and read back."""
+    path, base = place(spark), _results(spark, sf)
+    n = F.regexp_extract("image", "-([0-9]+)", 1).cast("long")
+    guess = F.when(n % 6 == 0, "none").otherwise(F.col("ground_truth"))
+    writers.csv_and_json(contracts.ab_rows(base, base.withColumns({"prediction": guess, "correct": guess == F.col("ground_truth")})), f"{path}/csv", f"{path}/json")
+    return readers.results_csv(spark, f"{path}/csv", readers.AB_RESULTS)
+
+
 @query("results_absent", "SELECT 0::BIGINT AS n")
 def results_absent(spark: SparkSession, sf: str) -> DataFrame:
     return readers.results_csv(spark, f"{place(spark)}/none").agg(F.count(F.lit(1)).alias("n"))

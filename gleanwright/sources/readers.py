@@ -17,6 +17,11 @@ from ..session import by_size, ready, written
 KNOWN = ("knowledge_id", "source", "source_type", "crop", "disease", "evidence_type", "content", "title", "recommendation_preference", "organic_eligible", "ipm_eligible")
 RESULTS = "image string, ground_truth string, prediction string, confidence string, truncated boolean, correct boolean, inference_time double, response string"
 
+#: The comparison file of two models.
+AB_RESULTS = "image string, ground_truth string, " + ", ".join(
+    f"{m}_{c}" for m in ("base", "lora") for c in ("prediction string", "confidence string", "truncated boolean", "correct boolean", "inference_time double", "response string")
+) + ", verdict string"
+
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """JSON lines; blank lines are skipped, a bad line fails the read."""

@@ -275,3 +275,22 @@ def test_intents_and_queries(spark):
     assert one(spark, policy.compose_query("c", "d", "q"), c="Corn", d="common_rust", q="what now ") == "Corn common rust what now"
     assert one(spark, policy.compose_query("c", F.lit(None).cast("string"), "c"), c="Corn") == "Corn Corn"
     assert one(spark, policy.blocked("t"), t="I cannot comply.") is True
+
+
+def test_guards_and_the_services_evidence(spark):
+    from gleanwright.operators import contracts, policy
+
+    q = spark.createDataFrame([("leaf rust",), ("  \n",)], "query string")
+    policy.demand_queries(q.limit(1))
+    for bad in (q, spark.createDataFrame([(None,)], "query string")):
+        with pytest.raises(ValueError, match="must not be empty"):
+            policy.demand_queries(bad)
+    with pytest.raises(ValueError, match="top_k"):
+        policy.demand_queries(q.limit(1), k=0)
+    rows = spark.createDataFrame([("k", "k::chunk-0000", None, 2, None)], "knowledge_id string, chunk_id string, source string, reranker_score int, vector_score float")
+    got = contracts.api_evidence(rows)
+    assert len(got.columns) == 12
+    assert got.first().asDict() == {
+        "knowledge_id": "k", "chunk_id": "k::chunk-0000", "source": None, "source_type": "Unknown", "crop": None, "disease": None, "evidence_type": None, "recommendation_preference": None,
+        "reranker_score": 2.0, "vector_score": None, "bm25_score": None, "hybrid_score": None,
+    }
