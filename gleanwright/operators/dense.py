@@ -1,12 +1,13 @@
 """Exact dense retrieval: the vectors with the highest cosine for each query, by matrix products of blocks.
 
-Vectors and queries become blocks of bounded bytes, vectors are dealt over slots, and each block of queries meets each block of
-vectors of its length once; only a block's best of each query leave it. Vectors (and queries) that are null or hold null or
+Vectors and queries become blocks of bounded bytes, these are dealt over a grid, and each block of queries meets each block of
+vectors of its length in one cell; only a cell's best of each query leave it. Vectors (and queries) that are null or hold null or
 non-finite components take no part; vectors of different lengths have no score with each other; a zero vector scores 0.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,10 @@ from ..functions.vectors import finite
 from ..session import ready, written
 from .lexical import top
 
-#: Bytes of a block of vectors, and queries in a block.
-BLOCK_BYTES, QUERY_BLOCK = 1 << 21, 512
+#: Bytes of a block of vectors, queries in a block, queries that are scored at once, and blocks (on average) in a row or column of the grid.
+BLOCK_BYTES, QUERY_BLOCK, SLICE, GROUP = 1 << 21, 2048, 512, 16
+#: How far a score may be from the one that it rounds to, with room for floating sums.
+SLACK = 2e-6
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -46,33 +49,71 @@ def _blocks(df: DataFrame, key: str, vector: str, most: int | None = None) -> Da
     return df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & finite(vector)).select(key, F.transform(vector, lambda x: x.cast("double"))).mapInArrow(run, schema)
 
 
+def _same(asked: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row of asked, row of names) of equal keys."""
+    order = np.argsort(names, kind="stable")
+    lo, hi = (np.searchsorted(names, asked, side, sorter=order) for side in ("left", "right"))
+    run = np.repeat(np.arange(len(asked)), hi - lo)
+    return run, order[np.repeat(lo, hi - lo) + np.arange(len(run)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)]
+
+
 def _best(k: int, names: list[str], others: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                dim, asked, keys = b.column("dim")[i].as_py(), b.column("asked")[i].values, b.column("keys")[i].values
-                q, v = (np.frombuffer(b.column(c)[i].as_py(), "<f8").reshape(-1, dim) for c in ("ask", "mat"))
-                s, names_of = np.round(q @ v.T, 6), np.array(keys.to_pylist())
-                if others:
-                    s[np.array(asked.to_pylist())[:, None] == names_of[None, :]] = -np.inf
-                low = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-                r, c = np.nonzero((s >= low[:, None]) & (s > -np.inf))
-                order = np.lexsort((names_of[c], -s[r, c], r))
-                r, c = r[order], c[order]
-                first = np.arange(len(r)) - np.searchsorted(r, r) < k
-                r, c = r[first], c[first]
-                yield pa.RecordBatch.from_arrays([asked.take(pa.array(r)), keys.take(pa.array(c)), pa.array(s[r, c])], names=names)
+    """The k best of each query among the vectors of a cell. A pair is rounded and ranked only if it reaches the query's k-th best score so far."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for a in left.to_batches():
+            for i in range(a.num_rows):
+                dim, asked, ask = a.column("dim")[i].as_py(), a.column("keys")[i].values, a.column("mat")[i]
+                q_all, id_all = np.frombuffer(ask.as_buffer(), "<f8").reshape(-1, dim), np.array(asked.to_pylist())
+                for lo in range(0, len(q_all), SLICE):
+                    q, ids = q_all[lo : lo + SLICE], id_all[lo : lo + SLICE]
+                    floor = np.full(len(q), -np.inf)
+                    row, key, score = np.zeros(0, np.int64), None, np.zeros(0)
+                    for b in right.to_batches():
+                        for j in range(b.num_rows):
+                            if b.column("dim")[j].as_py() != dim:
+                                continue
+                            of = np.array(b.column("keys")[j].values.to_pylist())
+                            s = q @ np.frombuffer(b.column("mat")[j].as_buffer(), "<f8").reshape(-1, dim).T
+                            if others:
+                                s[_same(ids, of)] = -np.inf
+                            open_ = np.flatnonzero(np.isneginf(floor))
+                            least = floor.copy()
+                            if len(open_) and s.shape[1] > k:
+                                least[open_] = np.partition(s[open_], -k, axis=1)[:, -k]
+                            r, c = np.nonzero((s >= least[:, None] - SLACK) & (s > -np.inf))
+                            if not len(r):
+                                continue
+                            row, score = np.concatenate([row, r]), np.concatenate([score, np.round(s[r, c], 6)])
+                            key = of[c] if key is None else np.concatenate([key, of[c]])
+                            order = np.lexsort((key, -score, row))
+                            order = order[np.arange(len(order)) - np.searchsorted(row[order], row[order]) < k]
+                            row, key, score = row[order], key[order], score[order]
+                            size = np.bincount(row, minlength=len(q))
+                            full = size >= k
+                            floor[full] = score[np.cumsum(size)[full] - 1]
+                    if key is not None:
+                        out.append(pa.table([asked.take(pa.array(row + lo)), pa.array(key, right.schema.field("keys").type.value_type), pa.array(score)], names=names))
+        none = [pa.array([], t) for t in (left.schema.field("keys").type.value_type, right.schema.field("keys").type.value_type, pa.float64())]
+        return pa.concat_tables(out) if out else pa.table(none, names=names)
 
     return run
 
 
 def vector_top(vectors: DataFrame, queries: DataFrame, key: str, k: int, query_key: str = "query_id", vector: str = "vector", others: bool = False) -> DataFrame:
-    """The k vectors with the highest cosine (six decimals, ties by smaller key) for each query; others=True leaves out a query's own key."""
+    """The k vectors with the highest cosine (six decimals, ties by smaller key) for each query; others=True leaves out a query's own key.
+
+    Blocks of queries and of vectors are dealt over the rows and columns of a grid with GROUP blocks a row or column, or fewer where
+    that leaves cores idle, so a block is copied once a column (or row) and not once a block of the other side."""
     spark = vectors.sparkSession
     ready(spark)
-    slots = spark.sparkContext.defaultParallelism * 4
-    rows = written(_blocks(vectors, key, vector).withColumn("slot", F.pmod(F.xxhash64("mat"), F.lit(slots)).cast("int")))
-    asked = _blocks(queries, query_key, vector, QUERY_BLOCK).select("dim", F.col("keys").alias("asked"), F.col("mat").alias("ask"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    grid = asked.join(rows, ["dim", "slot"]).select("dim", "asked", "ask", "keys", "mat")
+    rows, asked = written(_blocks(vectors, key, vector)), written(_blocks(queries, query_key, vector, QUERY_BLOCK))
+    n_rows, n_asked = rows.count(), asked.count()
+    side = max(1, min(GROUP, math.isqrt(n_rows * n_asked // (spark.sparkContext.defaultParallelism * 4))))
+    down, across = max(1, -(-n_asked // side)), max(1, -(-n_rows // side))
+    place = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("mat", "keys"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    left, right = place(asked, "down", down, "across", across), place(rows, "across", across, "down", down)
     schema = T.StructType([T.StructField(query_key, queries.schema[query_key].dataType), T.StructField(key, vectors.schema[key].dataType), T.StructField("score", T.DoubleType())])
-    return top(grid.mapInArrow(_best(k, schema.names, others), schema), query_key, "score", key, k)
+    cells = left.groupBy("down", "across").cogroup(right.groupBy("down", "across"))
+    return top(cells.applyInArrow(_best(k, schema.names, others), schema), query_key, "score", key, k)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import tables as t
 from ..functions import answers
 from ..operators import evaluation as ev
+from ..session import written
 from .registry import query
 from .retrieval import neighbours
 
@@ -161,7 +162,7 @@ av AS (SELECT *, CASE WHEN base = truth AND lora = truth THEN 'BOTH CORRECT' WHE
 
 
 def ab(spark: SparkSession, sf: str) -> DataFrame:
-    near = neighbours(spark, sf).filter("k <= 3")
+    near = written(neighbours(spark, sf).filter("k <= 3"))  # both models read it
     three = ev.majority(near, "query_id", "other", "k").select("query_id", F.col("other").cast("string").alias("lora"))
     one = near.filter("k = 1").select("query_id", F.col("label").cast("string").alias("truth"), F.col("other").cast("string").alias("base"))
     return one.join(three, "query_id").withColumn("verdict", ev.verdict("truth", "base", "lora")).withColumnRenamed("query_id", "vec_id")
@@ -185,7 +186,7 @@ def per_class_ab(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("class_report", f"WITH {NN}, nn AS (SELECT truth, base AS prediction FROM av), {REPORT.format('nn', SEEN)} SELECT label, support::BIGINT AS support, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM report")
 def class_report(spark: SparkSession, sf: str) -> DataFrame:
-    r = ev.class_report(ab(spark, sf).select("truth", F.col("base").alias("prediction")))
+    r = ev.class_report(written(ab(spark, sf).select("truth", F.col("base").alias("prediction"))))
     return r.select("label", "support", *(F.round(m, 6).alias(m) for m in ("precision", "recall", "f1")))
 
 
@@ -195,7 +196,7 @@ def _means(side: str) -> str:
 
 @query("metric_delta", f"WITH b AS (UNPIVOT ({_means('base')}) ON COLUMNS(*) INTO NAME metric VALUE base), l AS (UNPIVOT ({_means('lora')}) ON COLUMNS(*) INTO NAME metric VALUE other) SELECT metric, base, other, round(other - base, 6) AS delta FROM b JOIN l USING (metric)")
 def metric_delta(spark: SparkSession, sf: str) -> DataFrame:
-    x = ab(spark, sf)
+    x = written(ab(spark, sf).select("truth", "base", "lora"))  # four aggregates read it
     side = lambda c: ev.metrics(x.select("truth", F.col(c).alias("prediction")))
     return ev.metric_delta(side("base"), side("lora"))
 
