@@ -7,8 +7,9 @@ goes on. PERMUTATIONS minima in BANDS bands make two documents meet with a chanc
 Members of a bucket are not paired with one another. First each is checked against one centre, the one that it meets in most
 bands; components of these links come next; then only candidates that lie in different components are looked at: the other
 centres, all pairs of buckets of at most SMALL members, and larger buckets in blocks, inside which a spanning forest of exact
-links is found. Buckets of more than FINER members are first cut into finer ones, of members that share a second band too. Links
-inside one component cannot change the result, so none that matters is lost and no pair list grows with the square of a group.
+links is found. Links inside one component cannot change the result, so none that matters is lost and no pair list grows with the
+square of a group. Every bucket goes the same way whatever its size: a bucket that stays open costs compares of signatures (in
+blocks, bounded in memory) in the number of its members times that of those outside its largest component.
 Before its texts are fetched a pair must agree in AGREE minima, five deviations below 0.75; what then passes by hashes is
 confirmed on the words themselves.
 
@@ -38,7 +39,8 @@ WORDS, SIMILARITY = 5, 75
 BANDS, ROWS = 32, 4
 PERMUTATIONS = BANDS * ROWS
 AGREE = 71
-SMALL, BLOCK, FINER = 32, 512, 16_384
+#: Members of a bucket that are paired at once, of a block whose texts are compared, and of one whose signatures are.
+SMALL, BLOCK, FINER = 32, 512, 4_096
 #: ASCII capitals to small letters.
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 
@@ -169,20 +171,11 @@ def _exact(pairs: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
     return links
 
 
-def _finer(members: DataFrame, bands: DataFrame, most: int = FINER) -> DataFrame:
-    """Members of open buckets; those of more than `most` are cut into buckets of members that share another band too (a pair at the bound does with chance 0.99999)."""
-    many = members.filter(F.col("size") > most)
-    own = many.join(bands.withColumnRenamed("key", "key2"), "rep").filter("key <> key2")
-    finer = own.select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key"), "rep", "comp").distinct()
-    still = finer.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-    return members.filter(F.col("size") <= most).select("key", "rep", "comp").unionByName(finer.join(still, "key", "left_semi"))
-
-
-def _blocks(members: DataFrame) -> DataFrame:
-    """Members of open buckets in blocks, beside blocks of those outside the bucket's largest component; pairs inside that need no look."""
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """Members of open buckets in blocks of about `block`, beside blocks of those outside the bucket's largest component; pairs inside that need no look."""
     sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all"))
-    count = lambda n: F.ceil(n / BLOCK).cast("int")
+    count = lambda n: F.ceil(n / block).cast("int")
     main = main.select("key", F.col("m.comp").alias("main"), count(F.col("all")).alias("nb"), count(F.col("all") - F.col("m.n")).alias("np"))
     dealt = members.join(main, "key").withColumns({"i": F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"), "j": F.pmod(F.xxhash64(F.lit(1), "rep"), F.greatest("np", F.lit(1))).cast("int")})
     both = F.when(F.col("comp") != F.col("main"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
@@ -271,11 +264,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comp = cut(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
 
     large = open_members(f"size > {SMALL}", comp)
-    large = cut(_finer(large, bands) if large.filter(f"size > {FINER}").limit(1).count() else large.select("key", "rep", "comp"))
+    large = cut(large.select("key", "rep", "comp"))
     if not large.isEmpty():
-        flagged = cut(_blocks(large.join(sigs.withColumnRenamed("doc_id", "rep"), "rep")).groupBy("key", "i", "j").applyInPandas(lambda p: _flag(p), "key long, rep long").distinct())
+        flagged = cut(_blocks(large.join(sigs.withColumnRenamed("doc_id", "rep"), "rep"), FINER).groupBy("key", "i", "j").applyInPandas(lambda p: _flag(p), "key long, rep long").distinct())
         whole = cut(docs.join(by_size(flagged.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("text").alias("val")))
-        found = cut(_blocks(large.join(flagged, ["key", "rep"], "left_semi").join(whole, "rep")).groupBy("key", "i", "j").applyInPandas(lambda p: _forest(p), "a long, b long"))
+        found = cut(_blocks(large.join(flagged, ["key", "rep"], "left_semi").join(whole, "rep"), BLOCK).groupBy("key", "i", "j").applyInPandas(lambda p: _forest(p), "a long, b long"))
         comp = cut(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)))
         forget(flagged, whole, found)
     forget(met, stars, rest, large, reps)

@@ -124,3 +124,17 @@ def test_cuts_are_swept(spark):
     assert a.count() == 3 and b.count() == 4
     forget(a)
     assert sweep(spark) >= 1 and sweep(spark) == 0
+
+
+def test_buckets_of_any_size_go_the_same_way(spark, monkeypatch):
+    """Signatures that agree in one band and in 97 minima, but in no second band: the bucket's size must not lose their pairs."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**32, minhash.PERMUTATIONS, dtype="u4")
+    sig = [base.copy() for _ in range(6)]
+    for k, s in enumerate(sig):
+        for band in range(1, minhash.BANDS):
+            s[band * minhash.ROWS] ^= np.uint32(k + 1)
+    monkeypatch.setattr(minhash, "FINER", 2)
+    members = spark.createDataFrame([(7, k, k, len(sig), s.tobytes()) for k, s in enumerate(sig)], "key long, rep long, comp long, size long, val binary")
+    flagged = minhash._blocks(members.drop("size"), minhash.FINER).groupBy("key", "i", "j").applyInPandas(lambda p: minhash._flag(p), "key long, rep long")
+    assert {r.rep for r in flagged.collect()} == set(range(6))
