@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from ..functions.text import tokens
 from ..session import by_size, delete, forget, ready, spread, written
 from ..sources import versions
-from .lexical import K1, B, idf
+from .lexical import K1, PIECE, B, idf, lengths, pieces
 
 BLOCK = 32
 #: Rows (query, term) that are sent to all tasks at once; more queries are met in several passes. Scores that are held at once in a task.
@@ -62,9 +62,9 @@ def _blocks(segment: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, done = (segment << PART) + (TaskContext.get().partitionId() << RUN), 0
-        for b in batches:
+        for b in (x.slice(lo, hi - lo) for x in batches for lo, hi in pieces(lengths(x.column("tokens")), PIECE)):
             tok = b.column("tokens")
-            dl = np.nan_to_num(tok.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            dl = lengths(tok)
             flat, count = tok.flatten().dictionary_encode(), len(dl)
             words, code = flat.dictionary, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             many = max(1, len(words))
