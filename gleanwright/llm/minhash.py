@@ -198,9 +198,14 @@ def _flag(p: pd.DataFrame) -> pd.DataFrame:
     """Members of a block pair whose signature agrees with one of another component."""
     if p["comp"].nunique() < 2:
         return p.iloc[:0][["key", "rep"]]
-    sig = np.stack([np.frombuffer(x, "<u4") for x in p["val"]])
-    hit = {k for pair in _far_pairs(p, lambda x, rest: (sig[rest] == sig[x]).sum(1) >= AGREE) for k in pair}
-    return p.iloc[sorted(hit)][["key", "rep"]]
+    sig, comp = np.stack([np.frombuffer(x, "<u4") for x in p["val"]]), p["comp"].to_numpy()
+    one, two, hit = np.flatnonzero(p["probe"] == 1), np.flatnonzero(p["probe"] == 0), np.zeros(len(p), bool)
+    for x in one.tolist():
+        rest = two[comp[two] != comp[x]]
+        near = rest[(sig[rest] == sig[x]).sum(1) >= AGREE]
+        hit[near] = True
+        hit[x] |= len(near) > 0
+    return p[hit][["key", "rep"]]
 
 
 def _forest(p: pd.DataFrame) -> pd.DataFrame:
