@@ -11,6 +11,8 @@ from ..streaming import memory, resume
 from .registry import query
 
 GAP = 24 * 3600
+#: Rows of a file, on average, beyond which what comes at once comes in several files.
+FILE_ROWS = 250_000
 TURNS = """turns AS (SELECT user_id AS "case", epoch_us(ts) AS "at", event_id AS seq, CASE WHEN event_type = 'view' THEN 'crop-' || event_id % 3 END AS crop,
   CASE WHEN event_type = 'click' THEN 'disease-' || event_id % 5 END AS disease, CASE WHEN event_type = 'error' THEN 'place-' || event_id % 4 END AS place,
   CASE WHEN event_type = 'signup' THEN 'home-' || user_id % 3 END AS home, CASE WHEN event_type = 'signup' THEN CASE event_id % 2 WHEN 0 THEN 'Organic' ELSE 'IPM' END END AS preference FROM events)"""
@@ -37,23 +39,31 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def arrive(rows: DataFrame, path: str, files: int = 1) -> None:
+    """rows as so many new files of a stream; each is written by a task of its own."""
+    (rows.repartition(files) if files > 1 else rows.coalesce(1)).write.mode("append").parquet(path)
+
+
 @query("case_memory", MEMORY)
 def case_memory(spark: SparkSession, sf: str) -> DataFrame:
-    """Contexts of all turns, which come in six files, a third of them one file late; the stream is stopped after three files and started again."""
+    """Contexts of all turns, which come six times (in one file each, or in several where they are many), a third of them one time late; the
+    stream takes what came at one time as a batch, is stopped after three times and started again."""
     base, rows = temporary(spark, "stream"), turns(spark, sf)
-    low, high = rows.agg(F.min("at"), F.max("at")).first()
+    low, high, n = rows.agg(F.min("at"), F.max("at"), F.count("at")).first()
     if low is None:
         return spark.createDataFrame([], memory.CONTEXT)
     width, delay = (high - low) // 5 + 1, f"{2 * ((high - low) // 5_000_000 + 1)} seconds"
     part = F.floor((F.col("at") - low) / width) + F.when(F.col("seq") % 3 == 0, 1).otherwise(0)
-    run = lambda: memory.remember(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", GAP, delay)
+    files = 1 + n // (6 * FILE_ROWS)
+    # a batch that were cut elsewhere would still be within the delay: what comes at one time is at most two widths behind what came before
+    run = lambda: memory.remember(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", GAP, delay, files)
     for k in range(6):
-        rows.filter(part == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        arrive(rows.filter(part == k), f"{base}/in", files)
         if k == 2:
             run()
     # a turn of nobody, long after the others, lets the watermark pass them all
     end = rows.limit(1).select(F.lit(-1).cast("long").alias("case"), F.lit(high + 10 * width + 10 * GAP * 1_000_000).alias("at"), *rows.columns[2:])
-    end.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    arrive(end, f"{base}/in")
     run()
     return spark.read.schema(memory.CONTEXT).parquet(f"{base}/out").filter(F.col("case") >= 0)
 
@@ -64,10 +74,11 @@ class Broken(RuntimeError):
 
 @query("resumed_results", "SELECT event_id, user_id, upper(event_type) AS answer FROM events")
 def resumed_results(spark: SparkSession, sf: str) -> DataFrame:
-    """Results of all events, which come in four files that overlap; the run dies between a batch's write and its commit, and is started again."""
+    """Results of all events, which come four times with overlaps (in one file each, or in several where they are many); the run dies between a batch's write and its commit, and is started again."""
     base, rows = temporary(spark, "stream"), t.load(spark, sf, "events").select("event_id", "user_id", "event_type")
+    files = 1 + rows.count() // (4 * FILE_ROWS)
     for k in range(4):
-        rows.filter((F.col("event_id") % 4 == k) | (F.col("event_id") % 5 == k)).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        arrive(rows.filter((F.col("event_id") % 4 == k) | (F.col("event_id") % 5 == k)), f"{base}/in", files)
     died = []
 
     def die(number: int) -> None:
@@ -76,7 +87,7 @@ def resumed_results(spark: SparkSession, sf: str) -> DataFrame:
             raise Broken("stopped after the write")
 
     step = lambda df: df.select("event_id", "user_id", F.upper("event_type").alias("answer"))
-    run = lambda: resume.process_batches(spark, f"{base}/in", rows.schema, "event_id", step, f"{base}/out", f"{base}/checkpoint", after_write=die)
+    run = lambda: resume.process_batches(spark, f"{base}/in", rows.schema, "event_id", step, f"{base}/out", f"{base}/checkpoint", files, die)
     try:
         run()
     except Exception:
