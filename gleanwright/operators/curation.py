@@ -76,11 +76,15 @@ def first_of(rows: DataFrame, key: Column | str, order: str) -> DataFrame:
 
 
 def dedup_blocks(text: Column | str) -> Column:
-    """A text without paragraphs that repeat an earlier one, apart from case and spacing."""
+    """A text without paragraphs that repeat an earlier one, apart from case and spacing. Paragraphs are sorted, so time grows with n log n."""
     t = F.col(text) if isinstance(text, str) else text
     blocks = F.filter(F.transform(F.split(t, "\n\n"), lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")), lambda b: b != "")
-    keys = F.transform(blocks, lambda b: F.lower(F.btrim(F.regexp_replace(b, r"\s+", " "))))
-    return F.array_join(F.filter(F.transform(blocks, lambda b, i: F.when(F.array_position(keys, F.get(keys, i)) == i + 1, b)), lambda b: b.isNotNull()), "\n\n")
+    key = lambda b: F.lower(F.btrim(F.regexp_replace(b, r"\s+", " ")))
+    keyed = F.sort_array(F.transform(blocks, lambda b, i: F.struct(key(b).alias("k"), i.alias("i"), b.alias("b"))))
+    first = lambda s: F.transform(s, lambda x, j: F.when((j == 0) | (F.get(s, j - 1)["k"] != x["k"]), F.struct(x["i"].alias("i"), x["b"].alias("b"))))
+    # an array of one makes the sorted paragraphs a variable, which is computed once a text
+    kept = F.get(F.transform(F.array(keyed), lambda s: F.filter(first(s), lambda x: x.isNotNull())), F.lit(0))
+    return F.array_join(F.transform(F.sort_array(kept), lambda x: x["b"]), "\n\n")
 
 
 def hash_order(key: Column | str, seed: int | str = 42) -> Column:

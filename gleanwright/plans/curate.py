@@ -140,7 +140,8 @@ BLOCKS = r"list_filter(list_transform(string_split(replace(text, chr(10), chr(10
 )
 def dedup_blocks(spark: SparkSession, sf: str) -> DataFrame:
     d = t.load(spark, sf, "documents")
-    return d.select("doc_id", curation.dedup_blocks(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("text"))
+    kept = curation.dedup_blocks(F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    return d.select("doc_id", F.coalesce(kept, F.lit("")).alias("text"))
 
 
 @query("dup_groups", "SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
