@@ -62,14 +62,19 @@ def external_json(spark: SparkSession, sf: str) -> DataFrame:
     return readers.external_records(readers.numbered_lines(spark, path)).select(F.col("line_number").cast("int").alias("line_number"), "source", "source_type", "content")
 
 
+#: Bytes of text, on average, in a piece of a line file, which one task writes.
+PIECE_BYTES = 32 << 20
+
+
 @query("jsonl_numbered", "SELECT doc_id, lang, text, doc_id % 4 AS part, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) AS line_number FROM documents WHERE doc_id IS NOT NULL")
 def jsonl_numbered(spark: SparkSession, sf: str) -> DataFrame:
-    """documents as four JSON line files, read back with their line numbers in ranges of 256 KB."""
+    """documents as four JSON line files, each stored in pieces, read back with their line numbers in ranges of 256 KB."""
     path, d = place(spark), t.load(spark, sf, "documents").filter("doc_id IS NOT NULL").withColumn("part", F.col("doc_id") % 4)
-    dealt = d.repartitionByRange(4, "part").sortWithinPartitions("part", "doc_id")
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = d.repartitionByRange(4 + size // PIECE_BYTES, "part", "doc_id").sortWithinPartitions("part", "doc_id")
     dealt.select("part", F.to_json(F.struct("doc_id", "lang", "text")).alias("value")).write.partitionBy("part").text(path)
-    rows = readers.numbered_json(spark, path, "doc_id long, lang string, text string", range_bytes=1 << 18)[0]
-    return rows.select("doc_id", "lang", "text", F.regexp_extract("path", "/part=([0-9]+)/", 1).cast("long").alias("part"), "line_number")
+    rows = readers.numbered_json(spark, path, "doc_id long, lang string, text string", range_bytes=1 << 18, pieces=True)[0]
+    return rows.select("doc_id", "lang", "text", F.regexp_extract("path", "/part=(-?[0-9]+)$", 1).cast("long").alias("part"), "line_number")
 
 
 RESULT = "'img-' || event_id || '.jpg' AS image, event_type AS ground_truth, CASE WHEN event_id % 4 = 0 THEN 'other, \"odd\"' ELSE event_type END AS prediction, (event_id % 100) || '%' AS confidence, event_id % 2 = 0 AS truncated, event_id % 4 <> 0 AS correct, value AS inference_time, 'said \"' || event_type || '\"' || chr(10) || 'and more' AS response"
