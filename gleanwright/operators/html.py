@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ from ..session import ready, spread
 DROPPED = "(?is)<(script|style|noscript|iframe)\\b.*?</(?:script|style|noscript|iframe)>"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 KEPT, HEADS = frozenset(("h1", "h2", "h3", "h4", "p", "li", "table")), ("h1", "h2")
+#: Characters of section texts that a worker holds before it hands them on.
+OUT_CHARS = 1 << 20
 #: Marks of site navigation, footers and credits.
 NAVIGATION, FOOTERS, CREDITS = ("Home | About Us | Success Stories",), ("© TNAU",), ("Content validator:", "Source of Images:")
 #: Crops and conditions that texts name, in the order in which they are tried.
@@ -138,14 +140,27 @@ def section_rows(html: str) -> list[tuple[int, str | None, str | None, str]]:
 def sections(pages: DataFrame, key: str, html: str = "html", url: str = "url", source: str = "source_id") -> DataFrame:
     """Section records of each page: ids, title, section, subsection, content. Only the walk over the tree is Python."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in frames:
-            rows = [(k, *r) for k, h in zip(p[key], p[html], strict=True) for r in section_rows(h)]
-            yield pd.DataFrame(rows, columns=[key, "counter", "section", "subsection", "content"])
+    names = [key, "counter", "section", "subsection", "content"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One page at a time is text of Python's; sections leave in batches of OUT_CHARS characters."""
+        for b in batches:
+            types = [b.schema.field(0).type, pa.int32(), pa.string(), pa.string(), pa.string()]
+            made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)  # noqa: B023, E731
+            rows, held = [], 0
+            for k, h in zip(b.column(0), b.column(1), strict=True):
+                for r in section_rows(h.as_py()):
+                    rows.append((k.as_py(), *r))
+                    held += len(r[3])
+                    if held >= OUT_CHARS:
+                        yield made()
+                        rows, held = [], 0
+            if rows:
+                yield made()
 
     ready(pages.sparkSession)
     kind = pages.schema[key].dataType.simpleString()
-    walked = spread(pages.select(key, html)).mapInPandas(run, f"{key} {kind}, counter int, section string, subsection string, content string")
+    walked = spread(pages.select(key, html)).mapInArrow(run, f"{key} {kind}, counter int, section string, subsection string, content string")
     head = pages.select(key, F.col(source).alias("source"), F.col(url).alias("source_uri"), stable_id(url).alias("document_id"), title(html).alias("document_title"))
     out = walked.withColumn("content", clean("content")).join(head, key)
     return out.withColumn("knowledge_id", stable_id("source", "source_uri", F.col("counter").cast("string"), "section", "subsection", "content"))
