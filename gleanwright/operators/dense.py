@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import finite
-from ..session import ready, written
+from ..session import by_size, ready, written
 from .lexical import top
 
 #: Bytes of a block of vectors, queries in a block, queries that are scored at once, and blocks (on average) in a row or column of the grid.
 BLOCK_BYTES, QUERY_BLOCK, SLICE, GROUP = 1 << 21, 2048, 512, 16
+#: Rows of a block of vectors that meet all queries of a label, queries in a block that meets them, and pairs that leave at once.
+PAIR_ROWS, PAIR_QUERIES, PAIRS = 512, 256, 1 << 16
 #: How far a score may be from the one that it rounds to, with room for floating sums.
 SLACK = 2e-6
 
@@ -117,3 +119,49 @@ def vector_top(vectors: DataFrame, queries: DataFrame, key: str, k: int, query_k
     schema = T.StructType([T.StructField(query_key, queries.schema[query_key].dataType), T.StructField(key, vectors.schema[key].dataType), T.StructField("score", T.DoubleType())])
     cells = left.groupBy("down", "across").cogroup(right.groupBy("down", "across"))
     return top(cells.applyInArrow(_best(k, schema.names, others), schema), query_key, "score", key, k)
+
+
+def _labelled(df: DataFrame, key: str, label: str, vector: str, most: int, names: tuple[str, str, str]) -> DataFrame:
+    """(label, and by `names`: keys, length, unit vectors) in blocks of one label and length; a vector that is null or holds a null has length -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = b.column(2).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            of = b.column(1).dictionary_encode()
+            codes = of.indices.to_numpy(zero_copy_only=False)
+            for code, dim in sorted(set(zip(codes.tolist(), sizes.tolist(), strict=True))):
+                part = b.filter(pa.array((codes == code) & (sizes == dim)))
+                for lo in range(0, part.num_rows, most):
+                    some = part.slice(lo, most)
+                    mat = _unit(some.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)).astype("<f8").tobytes() if dim > 0 else b""
+                    keys = pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), some.column(0))
+                    yield pa.RecordBatch.from_arrays([some.column(1).slice(0, 1), keys, pa.array([dim], pa.int32()), pa.array([mat], pa.binary())], names=[label, *names])
+
+    kinds = (df.schema[label].dataType, T.ArrayType(df.schema[key].dataType), T.IntegerType(), T.BinaryType())
+    schema = T.StructType([T.StructField(n, k) for n, k in zip((label, *names), kinds, strict=True)])
+    whole = F.when(~F.exists(vector, lambda x: x.isNull()), F.transform(vector, lambda x: x.cast("double")))
+    return df.filter(F.col(label).isNotNull()).select(key, label, whole.alias("v")).mapInArrow(run, schema)
+
+
+def pair_scores(vectors: DataFrame, queries: DataFrame, key: str, label: str, query_key: str = "query_id", vector: str = "vector") -> DataFrame:
+    """(query_key, key, score): the cosine of each pair with an equal label, by matrix products of blocks; null where a vector is null or holds a null, or lengths differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                keys, dim, mat, asked, ask_dim, ask = (b.column(c)[i] for c in ("keys", "dim", "mat", "asked", "ask_dim", "ask"))
+                names, asked, dim, fits = keys.values, asked.values, dim.as_py(), dim.as_py() == ask_dim.as_py() >= 0
+                block = lambda m, n: np.frombuffer(m.as_buffer(), "<f8").reshape(n, dim) if dim > 0 else np.zeros((n, 0))  # noqa: B023, E731
+                x, q = (block(mat, len(names)), block(ask, len(asked)).T) if fits else (None, None)
+                step = max(1, PAIRS // len(asked))
+                for lo in range(0, len(names), step):
+                    part = names.slice(lo, step)
+                    n, m = len(part), len(asked)
+                    score = pa.array((x[lo : lo + step] @ q).ravel()) if fits else pa.nulls(n * m, pa.float64())
+                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(np.tile(np.arange(m), n))), part.take(pa.array(np.repeat(np.arange(n), m))), score], names=schema.names)
+
+    ready(vectors.sparkSession)
+    schema = T.StructType([T.StructField(query_key, queries.schema[query_key].dataType), T.StructField(key, vectors.schema[key].dataType), T.StructField("score", T.DoubleType())])
+    rows = _labelled(vectors, key, label, vector, PAIR_ROWS, ("keys", "dim", "mat"))
+    asked = _labelled(queries, query_key, label, vector, PAIR_QUERIES, ("asked", "ask_dim", "ask"))
+    return rows.join(by_size(asked, 1_000), label).drop(label).mapInArrow(run, schema)

@@ -314,8 +314,7 @@ def recommendation_search(spark: SparkSession, sf: str) -> DataFrame:
     wanted = t.queries(spark, sf).select("query_id", text.lookup_label("want_crop").alias("c"))
     v = t.record_vectors(spark, sf).join(crops, "knowledge_id")
     q = t.query_vectors(spark, sf).join(wanted, "query_id")
-    pairs = v.select("knowledge_id", "c", vectors.normalized("vector").alias("v")).join(by_size(q.select("query_id", "c", vectors.normalized("vector").alias("q")), 10_000), "c")
-    return pairs.select("query_id", "knowledge_id", F.round(vectors.dot("v", "q"), 6).alias("score"))
+    return dense.pair_scores(v, q, "knowledge_id", "c").select("query_id", "knowledge_id", F.round("score", 6).alias("score"))
 
 
 @query("normalized_lookup", f"WITH {t.RECORDS}, {t.QUERIES} SELECT query_id, count(*) AS n FROM records JOIN queries ON lower(trim(crop)) = lower(trim(want_crop)) GROUP BY query_id")
