@@ -9,7 +9,7 @@ bands; components of these links come next; then only candidates that lie in dif
 centres, all pairs of buckets of at most SMALL members, and larger buckets in blocks, inside which a spanning forest of exact
 links is found. Links inside one component cannot change the result, so none that matters is lost and no pair list grows with the
 square of a group. Every bucket goes the same way whatever its size: a bucket that stays open costs compares of signatures (in
-blocks, bounded in memory) in the number of its members times that of those outside its largest component.
+blocks, bounded in members and bytes) in the number of its members times that of those outside its largest component.
 Before its texts are fetched a pair must agree in AGREE minima, five deviations below 0.75; what then passes by hashes is
 confirmed on the words themselves.
 
@@ -41,6 +41,8 @@ PERMUTATIONS = BANDS * ROWS
 AGREE = 71
 #: Members of a bucket that are paired at once, of a block whose texts are compared, and of one whose signatures are.
 SMALL, BLOCK, FINER = 32, 512, 4_096
+#: Bytes of texts or signatures of a block, on average; a longer text stays whole.
+BLOCK_BYTES = 4 << 20
 #: ASCII capitals to small letters.
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 
@@ -172,17 +174,20 @@ def _exact(pairs: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _blocks(members: DataFrame, block: int) -> DataFrame:
-    """Members of open buckets in blocks of about `block`, beside blocks of those outside the bucket's largest component; pairs inside that need no look."""
-    sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all"))
-    count = lambda n: F.ceil(n / block).cast("int")
-    main = main.select("key", F.col("m.comp").alias("main"), count(F.col("all")).alias("nb"), count(F.col("all") - F.col("m.n")).alias("np"))
+    """Members of open buckets in blocks of about `block`, beside blocks of those outside the bucket's largest component; pairs inside that need no look.
+
+    Blocks are dealt out by key and both numbers, so the block pairs of one bucket are spread over tasks."""
+    sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("val").cast("long")).alias("bytes"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp", "bytes")).alias("m"), F.sum("n").alias("all"), F.sum("bytes").alias("bytes"))
+    count = lambda n, size: F.ceil(F.greatest(n / block, size / BLOCK_BYTES)).cast("int")
+    probes = count(F.col("all") - F.col("m.n"), F.col("bytes") - F.col("m.bytes"))
+    main = main.select("key", F.col("m.comp").alias("main"), count(F.col("all"), F.col("bytes")).alias("nb"), probes.alias("np"))
     dealt = members.join(main, "key").withColumns({"i": F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"), "j": F.pmod(F.xxhash64(F.lit(1), "rep"), F.greatest("np", F.lit(1))).cast("int")})
     both = F.when(F.col("comp") != F.col("main"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     dealt = dealt.withColumn("probe", F.explode(both))
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("probe") == 1, F.col("nb")).otherwise(F.col("np")) - 1)).alias("o")
     out = dealt.filter("np > 0").select("key", "rep", "comp", "val", "probe", "i", "j", other)
-    return out.withColumns({"i": F.when(F.col("probe") == 1, F.col("o")).otherwise(F.col("i")), "j": F.when(F.col("probe") == 1, F.col("j")).otherwise(F.col("o"))}).drop("o")
+    return out.withColumns({"i": F.when(F.col("probe") == 1, F.col("o")).otherwise(F.col("i")), "j": F.when(F.col("probe") == 1, F.col("j")).otherwise(F.col("o"))}).drop("o").repartition("key", "i", "j")
 
 
 def _far_pairs(p: pd.DataFrame, near) -> Iterator[tuple[int, int]]:
@@ -208,10 +213,16 @@ def _flag(p: pd.DataFrame) -> pd.DataFrame:
     return p[hit][["key", "rep"]]
 
 
+def _sets(text: list[str]) -> list[np.ndarray]:
+    """The shingle sets of texts, made from slices of them: what hashing takes on the way is that of a slice."""
+    whole = pa.RecordBatch.from_arrays([pa.array(text, pa.large_string())], names=["text"])
+    return [s for b in texts(iter([whole]), "text") for s in shingle_sets(b.column("text"))]
+
+
 def _forest(p: pd.DataFrame) -> pd.DataFrame:
     """Exact links of a block pair that join different components, a spanning forest of them."""
     text, rep = p["val"].tolist(), p["rep"].to_numpy()
-    sets = list(shingle_sets(pa.array(text, pa.large_string())))
+    sets = _sets(text)
     root = {c: c for c in p["comp"]}
 
     def top(c):
