@@ -59,10 +59,13 @@ def _packed(rows: int):
 
 
 def _grid(queries: DataFrame, rows: DataFrame, slots: int) -> DataFrame:
-    """Each block of queries beside each block of rows of its length; slots: as many as the blocks of rows were dealt over."""
+    """Each block of queries beside each block of rows of its length; slots: as many as the blocks of rows were dealt over.
+
+    By merge join: Spark guesses blocks at a hundred bytes, and else sends the queries' copies for all slots through the driver.
+    """
     q = queries.mapInArrow(_packed(QUERY_BLOCK), "dim int, v binary, id binary, lo binary, step binary, above binary").withColumnRenamed("v", "qv").withColumnRenamed("id", "qid")
     q = q.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    return q.join(rows, ["dim", "slot"]).select("qid", "qv", "lo", "step", "above", "id", "v", "dim")
+    return q.join(rows.hint("merge"), ["dim", "slot"]).select("qid", "qv", "lo", "step", "above", "id", "v", "dim")
 
 
 def inner(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -143,20 +146,21 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id"
     parts = max(1, -(-n // QUERY_BLOCK))
     state = asked.select("id", F.lit(-top).cast("long").alias("lo"), F.lit(-(-(2 * top + 1) // BINS)).cast("long").alias("step"), F.lit(0).cast("long").alias("above"))
     width = 2 * top + 1
+    beside = lambda df: df.hint("merge")  # noqa: E731  what grows with the queries is not broadcast, however small its files look
     while width > 1:
-        grid = _grid(asked.join(state, "id").repartition(parts), dealt, slots)
+        grid = _grid(asked.join(beside(state), "id").repartition(parts), dealt, slots)
         counts = grid.mapInArrow(_histogram(k, width), "id long, bin long, n long").groupBy("id", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
         run = counts.withColumn("so_far", F.sum("n").over(down))
-        found = run.join(state, "id").filter((F.col("above") + F.col("so_far") >= k) & (F.col("above") + F.col("so_far") - F.col("n") < k))
+        found = run.join(beside(state), "id").filter((F.col("above") + F.col("so_far") >= k) & (F.col("above") + F.col("so_far") - F.col("n") < k))
         step = F.greatest(F.ceil(F.col("step") / BINS), F.lit(1)).cast("long")
         low = (F.col("lo").cast("decimal(38,0)") + F.col("bin").cast("decimal(10,0)") * F.col("step").cast("decimal(20,0)")).cast("long")
         found = found.select("id", low.alias("lo"), step.alias("step"), (F.col("above") + F.col("so_far") - F.col("n")).alias("above"))
         # fewer than k candidates in all: everything from the lowest value on
-        short = state.join(found, "id", "left_anti").select("id", F.lit(-top).cast("long").alias("lo"), F.lit(1).cast("long").alias("step"), F.lit(k).cast("long").alias("above"))
+        short = state.join(beside(found), "id", "left_anti").select("id", F.lit(-top).cast("long").alias("lo"), F.lit(1).cast("long").alias("step"), F.lit(k).cast("long").alias("above"))
         width = -(-width // BINS)
         old, state = state, cut(found.unionByName(short))
         forget(old)
-    best = _grid(asked.join(state, "id").repartition(parts), dealt, slots).mapInArrow(_best(k), "query_id long, vec_id long, score long")
+    best = _grid(asked.join(beside(state), "id").repartition(parts), dealt, slots).mapInArrow(_best(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
